@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # split a skewed join side even where that costs one more exchange
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # constraint inference over wide derived session structs can take exponential planning time
+    "spark.sql.constraintPropagation.enabled": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
