@@ -6,6 +6,7 @@ from culvert.catalog import add
 from culvert.catalog.rules import SESS
 from culvert.operators import anomalies as O
 from culvert.plans import standins as S
+from culvert.session import materialise
 
 EV = "array_to_string(packet_refs, ',')"
 NS = "from_hex('6ba7b8129dad11d180b400c04fd430c8')"
@@ -48,8 +49,20 @@ e4 AS ({event_sql('DOWNGRADE_SUSPECTED', "'HIGH'", "initiator_ip || ' agreed on
     "rekey_storm": f"""rs AS (SELECT {PAIR}, count(*) AS n, max(t_us) - min(t_us) AS span FROM sess WHERE t_us IS NOT NULL GROUP BY ALL HAVING count(*) >= 4 AND max(t_us) - min(t_us) <= 60000000),
 e6 AS ({event_sql('REKEY_STORM', "'MEDIUM'", "n || ' associations ' || initiator_ip || '->' || responder_ip || ' in ' || (span // 1000000) || ' s'")} FROM sess JOIN rs USING ({PAIR}) WHERE t_us IS NOT NULL)""",
 }
+KIND = {
+    "aggressive_probe": "AGGRESSIVE_MODE_PROBE", "transform_bruteforce": "TRANSFORM_BRUTEFORCE", "downgrade": "DOWNGRADE_SUSPECTED",
+    "nat_t_unexpected": "NAT_T_UNEXPECTED", "rekey_storm": "REKEY_STORM",
+}
+
+
+def _one(name):
+    if name == "spi_collision":
+        return lambda spark, d: O.spi_collision(S.sessions(spark, d))
+    return lambda spark, d: O.member_events(S.sessions(spark, d), kinds=(KIND[name],))
+
+
 for i, (name, cte) in enumerate(PARTS.items(), 1):
-    add(name, (lambda f: lambda spark, d: f(S.sessions(spark, d)))(getattr(O, name)), f"WITH {SESS}, {cte} SELECT * FROM e{i}")
+    add(name, _one(name), f"WITH {SESS}, {cte} SELECT * FROM e{i}")
 
 EVENTS = ", ".join(PARTS.values()) + ", ev AS (" + " UNION ALL ".join(f"SELECT * FROM e{i}" for i in range(1, 7)) + ")"
 add("all_anomalies", lambda spark, d: O.detect(S.sessions(spark, d)), f"WITH {SESS}, {EVENTS} SELECT * FROM ev")
@@ -57,9 +70,14 @@ EVIDENCE = """evf AS (SELECT anomaly_type, job_id, session_id, unnest(string_spl
  UNION ALL SELECT 'SPI_COLLISION', job_id, session_id, frame FROM fr JOIN co USING (job_id, session_id))"""
 
 
+def stored_events(spark, d):
+    """Events written once to the shared folder, as an analysis stores them, then read back."""
+    return materialise(O.detect(S.sessions(spark, d)), "events")
+
+
 def _fold(spark, d):
     s = S.sessions(spark, d)
-    events = O.detect(s)
+    events = stored_events(spark, d)
     return O.fold_by_type(events, O.evidence_rows(events, s))
 
 

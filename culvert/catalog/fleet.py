@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from culvert.catalog import add
-from culvert.catalog.anomalies import EVENTS
+from culvert.catalog.anomalies import EVENTS, stored_events
 from culvert.catalog.rules import ASSESSED, COMPLIANCE, EXPO, FOUND, SESS, THREATS, assessed, compliance, exposed, found, q
 from culvert.functions import ruletables as R
-from culvert.operators import anomalies as AN
 from culvert.operators import fleet as O
 from culvert.operators import rules as RU
 from culvert.plans import standins as S
@@ -100,11 +99,11 @@ add(
     lambda s, d: O.finding_links(found(s, d)),
     f"{FD} SELECT DISTINCT rule_id, standard, cve, 'https://nvd.nist.gov/vuln/detail/' || cve AS cve_url, {PAGE} AS standard_url FROM found",
 )
-add("event_ranking", lambda s, d: O.rank_events(AN.detect(S.sessions(s, d))).select("anomaly_id", "anomaly_type", "severity", "t_us"), f"WITH {SESS}, {EVENTS} SELECT anomaly_id, anomaly_type, severity, t_us FROM ev")
+add("event_ranking", lambda s, d: O.rank_events(stored_events(s, d)).select("anomaly_id", "anomaly_type", "severity", "t_us"), f"WITH {SESS}, {EVENTS} SELECT anomaly_id, anomaly_type, severity, t_us FROM ev")
 GLOSS = "CASE anomaly_type " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in R.ANOMALY_GLOSS.items()) + " END"
 add(
     "event_kinds",
-    lambda s, d: O.event_kinds(AN.detect(S.sessions(s, d))),
+    lambda s, d: O.event_kinds(stored_events(s, d)),
     f"WITH {SESS}, {EVENTS} SELECT anomaly_type, min({RANK})::INTEGER AS rank, count(*) AS events, {GLOSS} AS meaning FROM ev GROUP BY anomaly_type",
 )
 SEV_GLOSS = "CASE overall_severity " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in R.SEVERITY_GLOSS.items()) + " END"

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from culvert.catalog import add
-from culvert.catalog.anomalies import EVENTS
+from culvert.catalog.anomalies import EVENTS, stored_events
 from culvert.catalog.rules import ASSESSED, SESS, assessed
-from culvert.operators import anomalies as AN
 from culvert.operators import ledger as O
 from culvert.plans import standins as S
 
@@ -31,7 +30,7 @@ add(
 )
 add(
     "list_events",
-    lambda s, d: O.list_events(AN.detect(S.sessions(s, d)), severity="MEDIUM", job_id="1997"),
+    lambda s, d: O.list_events(stored_events(s, d), severity="MEDIUM", job_id="1997"),
     f"WITH {SESS}, {EVENTS} SELECT * FROM ev WHERE severity = 'MEDIUM' AND job_id = '1997'",
 )
 JOBS = """jb AS (SELECT job_id, max(created_us) AS created_us, count(*) AS session_count, round_even(avg(risk_score), 0)::BIGINT AS posture_score,
@@ -41,7 +40,7 @@ JOBS = """jb AS (SELECT job_id, max(created_us) AS created_us, count(*) AS sessi
 
 
 def _summaries(s, d):
-    out = O.job_summaries(assessed(s, d), AN.detect(S.sessions(s, d)))
+    out = O.job_summaries(assessed(s, d), stored_events(s, d))
     counts = {k.lower(): F.col("severity_counts")[k] for k in ("CRITICAL", "HIGH", "MEDIUM", "LOW", "SAFE")}
     return out.withColumns(counts).drop("severity_counts")
 

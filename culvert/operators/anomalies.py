@@ -1,5 +1,6 @@
-"""Patterns across sessions. Every detector aggregates per group (partial sums before the shuffle),
-then hands the group's facts back to its members with the skew-safe ``attach``.
+"""Patterns across sessions. Facts are aggregated per group (partial sums before the shuffle) and
+handed back to the group's members with the skew-safe ``attach``; every detector that shares a
+group shares its facts, so all of them together cost two attachments.
 
 Groups are scoped by ``scope`` (one analysed capture); a session may sit in any number of groups.
 Event ids are version-5 UUIDs of kind, session, evidence and description, so analysing the same
@@ -47,40 +48,97 @@ def weak_suite() -> Column:
     return reduce(lambda a, b: a | b, tests)
 
 
-def _events(members: DataFrame, scope: Sequence[str], kind: str, severity: Column, text: Column) -> DataFrame:
-    evidence = F.array_join(F.col("packet_refs").cast("array<string>"), ",")
-    return members.select(
-        uuid5(F.concat_ws("|", F.lit(kind), "session_id", evidence, text)).alias("anomaly_id"),
-        *scope, "session_id", "t_us", F.lit(kind).alias("anomaly_type"), severity.alias("severity"),
-        text.alias("description"), evidence.alias("evidence"),
-    )
-
+MEMBER_KINDS = ("AGGRESSIVE_MODE_PROBE", "TRANSFORM_BRUTEFORCE", "DOWNGRADE_SUSPECTED", "NAT_T_UNEXPECTED", "REKEY_STORM")
+PAIR_KINDS = ("TRANSFORM_BRUTEFORCE", "DOWNGRADE_SUSPECTED", "REKEY_STORM")
 
-def _lean(sessions: DataFrame, scope: Sequence[str]) -> DataFrame:
-    return sessions.select(*scope, "session_id", "t_us", "initiator_ip", "responder_ip", "ike", "packet_refs")
 
+def responder_facts(sessions: DataFrame, scope: Sequence[str] = SCOPE) -> DataFrame:
+    """Sessions and Aggressive Mode sessions per responder."""
+    return sessions.groupBy(*scope, "responder_ip").agg(
+        F.count(F.lit(1)).alias("_responder_rows"), F.count_if(_aggressive()).alias("probes")
+    )
 
-def aggressive_probe(sessions: DataFrame, scope: Sequence[str] = SCOPE) -> DataFrame:
-    keys = [*scope, "responder_ip"]
-    hits = _lean(sessions, scope).filter((F.col("ike.version") == "IKEv1") & F.col("ike.aggressive_mode"))
-    facts = hits.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    m = attach(hits, facts, keys, "n", "inner")
-    repeated = F.col("n") >= PROBE_THRESHOLD
-    text = F.when(
-        repeated, F.concat(F.col("n").cast("string"), F.lit(" Aggressive Mode exchanges aimed at "), F.col("responder_ip"))
-    ).otherwise(F.concat(F.lit("Aggressive Mode exchange exposes a password hash at "), F.col("responder_ip")))
-    return _events(m, scope, "AGGRESSIVE_MODE_PROBE", F.when(repeated, "CRITICAL").otherwise("HIGH"), text)
 
+def pair_facts(sessions: DataFrame, scope: Sequence[str] = SCOPE) -> DataFrame:
+    """Everything the pair detectors need, per ordered pair.
 
-def transform_bruteforce(sessions: DataFrame, scope: Sequence[str] = SCOPE) -> DataFrame:
-    """Distinct suites per ordered pair through two aggregations, so no set is collected."""
+    Rows are first counted per (pair, suite); distinct suites are then a count of those rows, so
+    no set of suites is ever collected.
+    """
     keys = [*scope, "initiator_ip", "responder_ip"]
-    seen = _lean(sessions, scope).filter(observed())
-    suites = seen.groupBy(*keys, "ike.encryption", "ike.integrity", "ike.dh_group").agg(F.count(F.lit(1)).alias("_c"))
-    facts = suites.groupBy(*keys).agg(F.count(F.lit(1)).alias("suites"), F.sum("_c").alias("n"))
-    m = attach(seen, facts.filter(F.col("suites") >= BRUTEFORCE_THRESHOLD), keys, "n", "inner")
-    text = F.concat(F.col("suites").cast("string"), F.lit(" different suites from "), F.col("initiator_ip"), F.lit(" to "), F.col("responder_ip"))
-    return _events(m, scope, "TRANSFORM_BRUTEFORCE", F.lit("HIGH"), text)
+    suites = sessions.groupBy(*keys, "ike.encryption", "ike.integrity", "ike.dh_group").agg(
+        F.count(F.lit(1)).alias("_c"),
+        F.bool_or(observed()).alias("_seen"),
+        F.bool_or(weak_suite()).alias("_weak"),
+        F.count("t_us").alias("_timed"), F.min("t_us").alias("_t0"), F.max("t_us").alias("_t1"),
+    )
+    return suites.groupBy(*keys).agg(
+        F.sum("_c").alias("_pair_rows"),
+        F.count_if("_seen").alias("suites"),
+        F.bool_or(F.col("_seen") & F.col("_weak")).alias("any_weak"),
+        F.bool_or(F.col("_seen") & ~F.col("_weak")).alias("any_strong"),
+        F.sum("_timed").alias("timed"),
+        (F.max("_t1") - F.min("_t0")).alias("span"),
+    )
+
+
+def _aggressive() -> Column:
+    return F.coalesce((F.col("ike.version") == "IKEv1") & F.col("ike.aggressive_mode"), F.lit(False))
+
+
+def _verdict(kind: str) -> Column:
+    """Severity and text of one member detector, NULL where it does not apply."""
+    initiator, responder = F.col("initiator_ip"), F.col("responder_ip")
+
+    def count(name: str) -> Column:
+        return F.col(name).cast("string")
+
+    if kind == "AGGRESSIVE_MODE_PROBE":
+        repeated = F.col("probes") >= PROBE_THRESHOLD
+        hit, severity = _aggressive(), F.when(repeated, "CRITICAL").otherwise("HIGH")
+        text = F.when(repeated, F.concat(count("probes"), F.lit(" Aggressive Mode exchanges aimed at "), responder)).otherwise(
+            F.concat(F.lit("Aggressive Mode exchange exposes a password hash at "), responder)
+        )
+    elif kind == "TRANSFORM_BRUTEFORCE":
+        hit, severity = observed() & (F.col("suites") >= BRUTEFORCE_THRESHOLD), F.lit("HIGH")
+        text = F.concat(count("suites"), F.lit(" different suites from "), initiator, F.lit(" to "), responder)
+    elif kind == "DOWNGRADE_SUSPECTED":
+        hit, severity = observed() & weak_suite() & F.col("any_weak") & F.col("any_strong"), F.lit("HIGH")
+        text = F.concat(
+            initiator, F.lit(" agreed on "), F.col("ike.encryption"), F.lit(" / "), F.col("ike.dh_group"),
+            F.lit(" with "), responder, F.lit(" although both can do better"),
+        )
+    elif kind == "NAT_T_UNEXPECTED":
+        hit, severity = F.col("ike.nat_traversal") & is_public(initiator), F.lit("MEDIUM")
+        text = F.concat(F.lit("NAT traversal from public address "), initiator)
+    elif kind == "REKEY_STORM":
+        hit = F.col("t_us").isNotNull() & (F.col("timed") >= STORM_THRESHOLD) & (F.col("span") <= STORM_SPAN_US)
+        severity = F.lit("MEDIUM")
+        text = F.concat(
+            count("timed"), F.lit(" associations "), initiator, F.lit("->"), responder,
+            F.lit(" in "), F.floor(F.col("span") / 1_000_000).cast("string"), F.lit(" s"),
+        )
+    else:
+        raise ValueError(f"unknown detector {kind}")
+    return F.when(hit, F.struct(F.lit(kind).alias("kind"), severity.alias("severity"), text.alias("text")))
+
+
+def member_events(sessions: DataFrame, scope: Sequence[str] = SCOPE, kinds: Sequence[str] = MEMBER_KINDS) -> DataFrame:
+    """Events raised against individual sessions; each fact table is attached once, whatever ``kinds``."""
+    rows = sessions.select(*scope, "session_id", "t_us", "initiator_ip", "responder_ip", "ike", "packet_refs")
+    if "AGGRESSIVE_MODE_PROBE" in kinds:
+        rows = attach(rows, responder_facts(rows, scope), [*scope, "responder_ip"], "_responder_rows")
+    if set(kinds) & set(PAIR_KINDS):
+        base = sessions.select(*scope, "t_us", "initiator_ip", "responder_ip", "ike")
+        rows = attach(rows, pair_facts(base, scope), [*scope, "initiator_ip", "responder_ip"], "_pair_rows")
+    hits = F.filter(F.array(*[_verdict(k) for k in kinds]), lambda x: x.isNotNull())
+    evidence = F.array_join(F.col("packet_refs").cast("array<string>"), ",").alias("evidence")
+    long = rows.select(*scope, "session_id", "t_us", evidence, F.explode(hits).alias("e"))
+    return long.select(
+        uuid5(F.concat_ws("|", "e.kind", "session_id", "evidence", "e.text")).alias("anomaly_id"),
+        *scope, "session_id", "t_us", F.col("e.kind").alias("anomaly_type"), F.col("e.severity").alias("severity"),
+        F.col("e.text").alias("description"), "evidence",
+    )
 
 
 def spi_collision_evidence(sessions: DataFrame, scope: Sequence[str] = SCOPE) -> DataFrame:
@@ -115,45 +173,9 @@ def spi_collision(sessions: DataFrame, scope: Sequence[str] = SCOPE) -> DataFram
     )
 
 
-def downgrade(sessions: DataFrame, scope: Sequence[str] = SCOPE) -> DataFrame:
-    keys = [*scope, "initiator_ip", "responder_ip"]
-    seen = _lean(sessions, scope).filter(observed()).withColumn("weak", weak_suite())
-    facts = seen.groupBy(*keys).agg(
-        F.count_if("weak").alias("n"), F.bool_or("weak").alias("_w"), F.bool_or(~F.col("weak")).alias("_s")
-    )
-    m = attach(seen.filter("weak"), facts.filter("_w AND _s").drop("_w", "_s"), keys, "n", "inner")
-    text = F.concat(
-        F.col("initiator_ip"), F.lit(" agreed on "), F.col("ike.encryption"), F.lit(" / "), F.col("ike.dh_group"),
-        F.lit(" with "), F.col("responder_ip"), F.lit(" although both can do better"),
-    )
-    return _events(m, scope, "DOWNGRADE_SUSPECTED", F.lit("HIGH"), text)
-
-
-def nat_t_unexpected(sessions: DataFrame, scope: Sequence[str] = SCOPE) -> DataFrame:
-    hits = _lean(sessions, scope).filter(F.col("ike.nat_traversal") & is_public(F.col("initiator_ip")))
-    text = F.concat(F.lit("NAT traversal from public address "), F.col("initiator_ip"))
-    return _events(hits, scope, "NAT_T_UNEXPECTED", F.lit("MEDIUM"), text)
-
-
-def rekey_storm(sessions: DataFrame, scope: Sequence[str] = SCOPE) -> DataFrame:
-    """Pairs whose timestamped associations all fall within one minute."""
-    keys = [*scope, "initiator_ip", "responder_ip"]
-    timed = _lean(sessions, scope).filter(F.col("t_us").isNotNull())
-    facts = timed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), (F.max("t_us") - F.min("t_us")).alias("span"))
-    m = attach(timed, facts.filter((F.col("n") >= STORM_THRESHOLD) & (F.col("span") <= STORM_SPAN_US)), keys, "n", "inner")
-    text = F.concat(
-        F.col("n").cast("string"), F.lit(" associations "), F.col("initiator_ip"), F.lit("->"), F.col("responder_ip"),
-        F.lit(" in "), F.floor(F.col("span") / 1_000_000).cast("string"), F.lit(" s"),
-    )
-    return _events(m, scope, "REKEY_STORM", F.lit("MEDIUM"), text)
-
-
-DETECTORS = (aggressive_probe, transform_bruteforce, spi_collision, downgrade, nat_t_unexpected, rekey_storm)
-
-
 def detect(sessions: DataFrame, scope: Sequence[str] = SCOPE) -> DataFrame:
     """All detectors, one event table."""
-    return reduce(lambda a, b: a.unionByName(b), [d(sessions, scope) for d in DETECTORS])
+    return member_events(sessions, scope).unionByName(spi_collision(sessions, scope))
 
 
 def fold_by_type(events: DataFrame, evidence: DataFrame) -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -40,3 +41,13 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
         root = tempfile.mkdtemp(prefix="culvert-")
         spark.conf.set("spark.checkpoint.dir", root)
     return os.path.join(root, purpose) if "://" not in root else f"{root.rstrip('/')}/{purpose}"
+
+
+def materialise(df: DataFrame, purpose: str) -> DataFrame:
+    """Write a result that several later steps read, and read it back.
+
+    The table lives in the shared folder, so a lost executor costs nothing already computed.
+    """
+    path = f"{shared_dir(df.sparkSession, purpose)}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
