@@ -125,15 +125,15 @@ def _verdict(kind: str) -> Column:
 
 def member_events(sessions: DataFrame, scope: Sequence[str] = SCOPE, kinds: Sequence[str] = MEMBER_KINDS) -> DataFrame:
     """Events raised against individual sessions; each fact table is attached once, whatever ``kinds``."""
-    rows = sessions.select(*scope, "session_id", "t_us", "initiator_ip", "responder_ip", "ike", "packet_refs")
+    proof = F.col("evidence") if "evidence" in sessions.columns else F.array_join(F.col("packet_refs").cast("array<string>"), ",")
+    rows = sessions.select(*scope, "session_id", "t_us", "initiator_ip", "responder_ip", "ike", proof.alias("evidence"))
     if "AGGRESSIVE_MODE_PROBE" in kinds:
         rows = attach(rows, responder_facts(rows, scope), [*scope, "responder_ip"], "_responder_rows")
     if set(kinds) & set(PAIR_KINDS):
         base = sessions.select(*scope, "t_us", "initiator_ip", "responder_ip", "ike")
         rows = attach(rows, pair_facts(base, scope), [*scope, "initiator_ip", "responder_ip"], "_pair_rows")
     hits = F.filter(F.array(*[_verdict(k) for k in kinds]), lambda x: x.isNotNull())
-    evidence = F.array_join(F.col("packet_refs").cast("array<string>"), ",").alias("evidence")
-    long = rows.select(*scope, "session_id", "t_us", evidence, F.explode(hits).alias("e"))
+    long = rows.select(*scope, "session_id", "t_us", "evidence", F.explode(hits).alias("e"))
     return long.select(
         uuid5(F.concat_ws("|", "e.kind", "session_id", "evidence", "e.text")).alias("anomaly_id"),
         *scope, "session_id", "t_us", F.col("e.kind").alias("anomaly_type"), F.col("e.severity").alias("severity"),
@@ -141,9 +141,12 @@ def member_events(sessions: DataFrame, scope: Sequence[str] = SCOPE, kinds: Sequ
     )
 
 
-def spi_collision_evidence(sessions: DataFrame, scope: Sequence[str] = SCOPE) -> DataFrame:
-    """Distinct (session, frame) rows behind collisions, long: no array per session is built."""
-    refs = sessions.select(*scope, "session_id", F.explode("packet_refs").alias("frame"))
+def spi_collision_evidence(sessions: DataFrame, scope: Sequence[str] = SCOPE, frames: DataFrame | None = None) -> DataFrame:
+    """Distinct (session, frame) rows behind collisions, long: no array per session is built.
+
+    ``frames`` holds (scope, session_id, frame) rows where sessions carry no ``packet_refs``.
+    """
+    refs = frames if frames is not None else sessions.select(*scope, "session_id", F.explode("packet_refs").alias("frame"))
     hit = _collisions(sessions, scope).select(*scope, "session_id")
     return refs.join(hit, [*scope, "session_id"], "left_semi").distinct()
 
@@ -154,18 +157,18 @@ def _collisions(sessions: DataFrame, scope: Sequence[str]) -> DataFrame:
     return pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("pairs")).filter("pairs > 1")
 
 
-def spi_collision(sessions: DataFrame, scope: Sequence[str] = SCOPE) -> DataFrame:
+def spi_collision(sessions: DataFrame, scope: Sequence[str] = SCOPE, frames: DataFrame | None = None) -> DataFrame:
     """One event per session id seen between several ordered pairs.
 
     The evidence of one event is unbounded, so it enters the id as count, smallest, largest and
     sum of the distinct frames; the frames are rows of ``spi_collision_evidence``.
     """
     keys = [*scope, "session_id"]
-    frames = spi_collision_evidence(sessions, scope).groupBy(*keys).agg(
+    proof = spi_collision_evidence(sessions, scope, frames).groupBy(*keys).agg(
         F.concat_ws(":", F.count(F.lit(1)), F.min("frame"), F.max("frame"), F.sum("frame")).alias("evidence")
     )
     text = F.concat(F.lit("identifier "), F.col("session_id"), F.lit(" used between "), F.col("pairs").cast("string"), F.lit(" peer pairs"))
-    m = _collisions(sessions, scope).join(frames, keys, "left").withColumn("evidence", F.coalesce("evidence", F.lit("")))
+    m = _collisions(sessions, scope).join(proof, keys, "left").withColumn("evidence", F.coalesce("evidence", F.lit("")))
     return m.select(
         uuid5(F.concat_ws("|", F.lit("SPI_COLLISION"), "session_id", "evidence", text)).alias("anomaly_id"),
         *scope, "session_id", F.lit(None).cast("bigint").alias("t_us"), F.lit("SPI_COLLISION").alias("anomaly_type"),
@@ -173,9 +176,9 @@ def spi_collision(sessions: DataFrame, scope: Sequence[str] = SCOPE) -> DataFram
     )
 
 
-def detect(sessions: DataFrame, scope: Sequence[str] = SCOPE) -> DataFrame:
+def detect(sessions: DataFrame, scope: Sequence[str] = SCOPE, frames: DataFrame | None = None) -> DataFrame:
     """All detectors, one event table."""
-    return member_events(sessions, scope).unionByName(spi_collision(sessions, scope))
+    return member_events(sessions, scope).unionByName(spi_collision(sessions, scope, frames))
 
 
 def fold_by_type(events: DataFrame, evidence: DataFrame) -> DataFrame:

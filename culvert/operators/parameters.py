@@ -122,17 +122,27 @@ def child_negotiations(messages: DataFrame, keys: Sequence[str] = SA) -> DataFra
     )
 
 
+def vendor_ids(messages: DataFrame) -> Column:
+    """Vendor ID payloads of a message in order, as lower-case hex."""
+    if "vids" in messages.columns:
+        return F.transform("vids", F.lower)
+    one = F.when(has_payload(43, 13) & F.col("vid_hex").isNotNull(), F.array(F.lower("vid_hex")))
+    return F.coalesce(one, F.array().cast("array<string>"))
+
+
 def signals(messages: DataFrame, keys: Sequence[str] = SA) -> DataFrame:
     """Vendor, fragmentation, NAT and dead-peer-detection facts of every association."""
-    vid = F.when(has_payload(43, 13), F.lower("vid_hex"))
+    vids = vendor_ids(messages)
+    vendor = F.get(F.filter(F.transform(vids, C.vendor_of), lambda v: v.isNotNull()), 0)
+    announces_dpd = F.exists(vids, lambda v: v.startswith(C.DPD_VENDOR_PREFIX))
     v1 = F.col("version") == "IKEv1"
     liveness = ~v1 & (F.col("exchange") == INFORMATIONAL) & (F.size("payload_types") == 0)
     return messages.groupBy(*keys).agg(
         F.min_by("version", "frame").alias("version"),
-        _first(C.vendor_of(vid), F.lit(True)).alias("_vendor"),
+        _first(vendor, F.lit(True)).alias("_vendor"),
         _any(has_payload(*FRAGMENT_TYPES)).alias("fragmented_ike"),
         _any((F.col("udp_port") == 4500) | (v1 & has_payload(20, 130))).alias("nat_traversal"),
-        _any(vid.startswith(C.DPD_VENDOR_PREFIX) | liveness).alias("dpd_seen"),
+        _any(announces_dpd | liveness).alias("dpd_seen"),
     ).withColumn("vendor", F.coalesce("_vendor", unknown())).drop("_vendor")
 
 
