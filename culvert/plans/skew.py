@@ -122,3 +122,19 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, band: int, out:
         & (F.col("_rank") - F.col("_before") >= F.col("_in") - F.col("_c"))
     )
     return hit.groupBy(*keys).agg(F.avg(value).alias(out), F.max("n").alias("n"))
+
+
+def sliced_rank(df: DataFrame, keys: Sequence[str], order: str, width: int, out: str = "rank", tie: Sequence[str] = ()) -> DataFrame:
+    """Zero-based rank of each row within ``keys`` by ``order``, without one task per key.
+
+    Rows are numbered inside (keys, slice); the rows of earlier slices come from one count per slice.
+    """
+    keys = list(keys)
+    sliced = df.withColumn("_slice", slice_of(F.col(order), width))
+    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    counts = sliced.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_c"))
+    offsets = counts.select(*keys, "_slice", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_offset"))
+    inner = Window.partitionBy(*keys, "_slice").orderBy(order, *tie)
+    numbered = sliced.withColumn("_in", F.row_number().over(inner) - 1)
+    ranked = numbered.join(offsets, [*keys, "_slice"])
+    return ranked.withColumn(out, F.col("_offset") + F.col("_in")).drop("_slice", "_in", "_offset")
