@@ -46,7 +46,9 @@ def escape_header(value: Column) -> Column:
 
 def escape_extension(value: Column) -> Column:
     text = F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit("="), F.lit("\\="))
-    return F.regexp_replace(text, "\r\n|\n|\r", " ")
+    for newline in ("\r\n", "\n", "\r"):
+        text = F.replace(text, F.lit(newline), F.lit(" "))
+    return text
 
 
 def _pair(key: str, value: Column) -> Column:
@@ -86,15 +88,16 @@ def cef_lines(
         F.lit("cn1Label=riskScore"), _pair("cn1", F.col("risk_score")),
         F.lit("cs5Label=trafficType"), _pair("cs5", shown), _pair("rt", when),
     ]
-    per_session = assessed.withColumn("f", F.explode_outer(findings))
+    # the session's own part is put together once, before its findings multiply the rows
+    per_session = assessed.select(*keys, F.concat_ws(" ", *base).alias("base"), F.explode_outer(findings).alias("f"))
     extra = [
         F.lit("cs6Label=standard"), _pair("cs6", F.col("f.standard")),
         F.when(F.size("f.inferred_from") > 0, F.lit("flexString1Label=inferredFields")),
         _pair("flexString1", F.array_join("f.inferred_from", ",")), _pair("cve", F.col("f.cve")),
     ]
     line = F.when(
-        F.col("f").isNull(), _line(prefix, F.lit(clean), F.lit("No findings"), F.lit(0), base)
-    ).otherwise(_line(prefix, F.col("f.rule_id"), F.col("f.description"), _severity(F.col("f.severity")), base + extra))
+        F.col("f").isNull(), _line(prefix, F.lit(clean), F.lit("No findings"), F.lit(0), [F.col("base")])
+    ).otherwise(_line(prefix, F.col("f.rule_id"), F.col("f.description"), _severity(F.col("f.severity")), [F.col("base"), *extra]))
     session_lines = per_session.select(*keys, line.alias("line"))
 
     ends = assessed.groupBy(*keys).agg(F.max_by(F.struct("initiator_ip", "responder_ip"), "row_no").alias("_ends"))

@@ -274,7 +274,9 @@ def duck_cte(name: str) -> str:
 def _flat(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     table, build = SOURCES[name]
     # Inferring constraints through these wide CASE projections takes exponential planning time.
+    # Their generated code exceeds what HotSpot compiles, so whole-stage code must give way to split code.
     spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     return df.select(*[F.expr(e).alias(c) for c, e in build(Dialect(False)).items()])
 

@@ -17,6 +17,8 @@ SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # constraint inference over wide derived session structs can take exponential planning time
     "spark.sql.constraintPropagation.enabled": "false",
+    # HotSpot never compiles methods over 8000 bytes; above that, plain (split) code generation is faster
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
