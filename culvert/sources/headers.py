@@ -51,41 +51,56 @@ def ipv4_text(data: Column, offset: Column) -> Column:
     return F.concat_ws(".", *[number(data, offset + i, 1).cast("string") for i in range(4)])
 
 
-def ipv6_text(data: Column, offset: Column) -> Column:
-    """Shortest form: leading zeros dropped, the longest run of zero groups written as ``::``."""
+def ipv6_groups(data: Column, offset: Column) -> Column:
+    """The eight groups between colons, each without leading zeros: ``:2001:db8:0:...:1:``."""
     groups = [F.lower(F.conv(number(data, offset + 2 * i, 2).cast("string"), 10, 16)) for i in range(8)]
-    whole = F.concat(F.lit(":"), F.concat_ws(":", *groups), F.lit(":"))
+    return F.concat(F.lit(":"), F.concat_ws(":", *groups), F.lit(":"))
+
+
+def ipv6_text(whole: Column) -> Column:
+    """Shortest form: the longest run of zero groups is written as ``::``."""
     out = None
     for run in range(8, 1, -1):
         zeros = ":" + "0:" * run
         at = F.locate(zeros, whole)
         short = F.concat(F.substr(whole, F.lit(1), at - 1), F.lit("::"), F.substr(whole, at + len(zeros)))
         out = F.when(at > 0, short) if out is None else out.when(at > 0, short)
-    text = out.otherwise(whole)
-    text = F.regexp_replace(text, "^:(?!:)", "")
+    text = F.regexp_replace(out.otherwise(whole), "^:(?!:)", "")
     return F.regexp_replace(text, "(?<!:):$", "")
 
 
+def step(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns behind a generator.
+
+    Plain projections would be merged and later filters pushed through them, which repeats every
+    byte expression at each use; a generator's output stays a plain attribute.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def decode_headers(raw: DataFrame) -> DataFrame:
     """Addresses, transport protocol and transport body of each packet; non-IP packets drop out."""
-    df = raw.withColumn("_ip", _network_start(F.col("link"), F.col("data"))).filter(F.col("_ip").isNotNull())
     data, ip = F.col("data"), F.col("_ip")
-    df = df.withColumn("_v", F.shiftright(number(data, ip, 1), 4))
-    v4, v6 = F.col("_v") == 4, F.col("_v") == 6
-    head = (number(data, ip, 1).bitwiseAND(15)) * 4
-    total4, total6 = number(data, ip + 2, 2), number(data, ip + 4, 2)
-    body4 = rest(data, ip + head, F.when(total4 > head, total4 - head).otherwise(F.length(data)))
-    body6 = rest(data, ip + 40, F.when(total6 > 0, total6).otherwise(F.length(data)))
+    df = step(raw, _ip=_network_start(F.col("link"), data)).filter("_ip IS NOT NULL")
+    first = number(data, ip, 1)
+    df = step(df, _v=F.shiftright(first, 4), _head=first.bitwiseAND(15) * 4, _t4=number(data, ip + 2, 2), _t6=number(data, ip + 4, 2))
+    v4, v6, head = F.col("_v") == 4, F.col("_v") == 6, F.col("_head")
     whole = F.when(v4, F.length(data) >= ip + 20).when(v6, F.length(data) >= ip + 40).otherwise(F.lit(False))
-    return df.filter(whole).select(
-        "capture_id", "frame", "t_us", F.length("data").cast("bigint").alias("size"),
-        F.when(v4, "IPv4").otherwise("IPv6").alias("ip_version"),
-        F.when(v4, number(data, ip + 9, 1)).otherwise(number(data, ip + 6, 1)).cast("int").alias("proto"),
-        F.when(v4, ipv4_text(data, ip + 12)).otherwise(ipv6_text(data, ip + 8)).alias("src"),
-        F.when(v4, ipv4_text(data, ip + 16)).otherwise(ipv6_text(data, ip + 24)).alias("dst"),
-        F.when(v4, number(data, ip + 6, 2).bitwiseAND(0x1FFF)).otherwise(0).alias("fragment"),
-        F.when(v4, body4).otherwise(body6).alias("body"),
-    )
+    df = df.filter(whole)
+    body4 = rest(data, ip + head, F.when(F.col("_t4") > head, F.col("_t4") - head).otherwise(F.length(data)))
+    body6 = rest(data, ip + 40, F.when(F.col("_t6") > 0, F.col("_t6")).otherwise(F.length(data)))
+    df = step(
+        df,
+        size=F.length("data").cast("bigint"),
+        ip_version=F.when(v4, "IPv4").otherwise("IPv6"),
+        proto=F.when(v4, number(data, ip + 9, 1)).otherwise(number(data, ip + 6, 1)).cast("int"),
+        _s=F.when(v4, ipv4_text(data, ip + 12)).otherwise(ipv6_groups(data, ip + 8)),
+        _d=F.when(v4, ipv4_text(data, ip + 16)).otherwise(ipv6_groups(data, ip + 24)),
+        fragment=F.when(v4, number(data, ip + 6, 2).bitwiseAND(0x1FFF)).otherwise(0),
+        body=F.when(v4, body4).otherwise(body6),
+    )
+    shown = {n: F.when(F.col("ip_version") == "IPv4", F.col(c)).otherwise(ipv6_text(F.col(c))) for n, c in (("src", "_s"), ("dst", "_d"))}
+    return step(df, **shown).select("capture_id", "frame", "t_us", "size", "ip_version", "proto", "src", "dst", "fragment", "body")
 
 
 def spi_and_seq(body: Column, proto: Column) -> tuple[Column, Column]:
@@ -103,17 +118,16 @@ def split_packets(decoded: DataFrame) -> tuple[DataFrame, DataFrame]:
     is_udp = (F.col("proto") == UDP) & (F.col("fragment") == 0)
     sport, dport = number(F.col("body"), 0, 2), number(F.col("body"), 2, 2)
     length = number(F.col("body"), 4, 2)
-    df = decoded.withColumns(
-        {
-            "_4500": is_udp & ((sport == NAT_PORT) | (dport == NAT_PORT)),
-            "_500": is_udp & ((sport == IKE_PORT) | (dport == IKE_PORT)),
-            "_payload": F.when(is_udp, rest(F.col("body"), F.lit(8), F.when(length > 8, length - 8).otherwise(F.length("body")))),
-        }
+    df = step(
+        decoded,
+        _4500=is_udp & ((sport == NAT_PORT) | (dport == NAT_PORT)),
+        _500=is_udp & ((sport == IKE_PORT) | (dport == IKE_PORT)),
+        _payload=F.when(is_udp, rest(F.col("body"), F.lit(8), F.when(length > 8, length - 8).otherwise(F.length("body")))),
     )
     marked = F.hex(F.substring("_payload", 1, 4)) == "00000000"
-    df = df.withColumn(
-        "_kind",
-        F.when(F.col("proto").isin(ESP, AH), "esp")
+    df = step(
+        df,
+        _kind=F.when(F.col("proto").isin(ESP, AH), "esp")
         .when(F.col("_4500") & (F.length("_payload") > 0), F.when(marked, "ike").when(F.length("_payload") >= 8, "esp"))
         .when(F.col("_500") & (F.length("_payload") > 0), "ike"),
     )
@@ -135,19 +149,18 @@ def ike_header(datagrams: DataFrame) -> DataFrame:
     long_enough = datagrams.filter(F.length("ike") >= IKE_HEADER)
     v1 = version == V1
     flags = number(m, 19, 1)
-    out = long_enough.withColumns(
-        {
-            "init_spi": F.lower(F.hex(F.substring("ike", 1, 8))),
-            "resp_spi": F.lower(F.hex(F.substring("ike", 9, 8))),
-            "next_payload": number(m, 16, 1).cast("int"),
-            "version_byte": version.cast("int"),
-            "exchange": number(m, 18, 1).cast("int"),
-            "flags": flags.cast("int"),
-            "is_response": flags.bitwiseAND(FLAG_RESPONSE) != 0,
-            "message_id": number(m, 20, 4),
-            "length": number(m, 24, 4),
-            "version": F.when(v1, "IKEv1").otherwise("IKEv2"),
-        }
+    out = step(
+        long_enough,
+        init_spi=F.lower(F.hex(F.substring("ike", 1, 8))),
+        resp_spi=F.lower(F.hex(F.substring("ike", 9, 8))),
+        next_payload=number(m, 16, 1).cast("int"),
+        version_byte=version.cast("int"),
+        exchange=number(m, 18, 1).cast("int"),
+        flags=flags.cast("int"),
+        is_response=flags.bitwiseAND(FLAG_RESPONSE) != 0,
+        message_id=number(m, 20, 4),
+        length=number(m, 24, 4),
+        version=F.when(v1, "IKEv1").otherwise("IKEv2"),
     )
     return out.filter(F.col("version_byte").isin(V1, V2))
 
