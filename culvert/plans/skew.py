@@ -87,7 +87,8 @@ def attach(
         .limit(HOT_KEYS)
         .select(*keys, F.lit(True).alias("_hot"))
     )
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(salts)).cast("int")
+    # the partition number spreads exact copies of one row, which any hash of the row would keep together
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns], F.spark_partition_id()), F.lit(salts)).cast("int")
     salted_rows = rows.join(F.broadcast(hot), keys, "left").withColumn(
         "_salt", F.when(F.col("_hot"), salt).otherwise(F.lit(0))
     )
