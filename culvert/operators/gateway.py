@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from culvert.functions.net import peer_pair
-from culvert.plans.skew import attach
+from culvert.plans.skew import attach, one_row
 
 VALUE_FIELDS = ("mode", "pfs_status", "auth_method", "version", "anti_replay")
 RECORD_FIELDS = ("source", "local", "remote", "ike_spi_i", *VALUE_FIELDS)
@@ -282,4 +282,4 @@ def import_summary(sessions: DataFrame, records: DataFrame, reconciled: DataFram
     ).agg(F.count(F.lit(1)).alias("matched_sessions"), F.coalesce(F.sum("_f"), F.lit(0)).alias("filled"), F.coalesce(F.sum("_m"), F.lit(0)).alias("mismatches"))
     r = records.agg(F.count(F.lit(1)).alias("records"))
     u = unmatched_records(sessions, records).agg(F.count(F.lit(1)).alias("unmatched_records"))
-    return r.crossJoin(F.broadcast(a)).crossJoin(F.broadcast(u))  # three single rows
+    return one_row(r, a, u)

@@ -14,13 +14,13 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from culvert.functions.numeric import half_even, ratio
 from culvert.operators.flows import FEATURES
 from culvert.operators.parameters import STRUCTURAL
-from culvert.plans.skew import sliced_rank
+from culvert.plans.skew import one_row, sliced_rank
 
 # Model settings and confidence thresholds.
 FOREST = {"numTrees": 150, "maxDepth": 16}
@@ -80,8 +80,9 @@ def group_folds(df: DataFrame, group: str, k: int = 5) -> DataFrame:
 def balanced_weights(train: DataFrame, label: str) -> DataFrame:
     """Add ``weight`` = n / (classes x class size)."""
     sizes = train.groupBy(label).agg(F.count(F.lit(1)).alias("_c"))
-    facts = sizes.agg(F.sum("_c").alias("_n"), F.count(F.lit(1)).alias("_k"))
-    weights = sizes.crossJoin(F.broadcast(facts)).select(label, (F.col("_n") / (F.col("_k") * F.col("_c"))).alias("weight"))  # one-row side
+    classes = Window.partitionBy()  # over one row per class
+    share = F.sum("_c").over(classes) / (F.count(F.lit(1)).over(classes) * F.col("_c"))
+    weights = sizes.select(label, share.alias("weight"))
     return train.join(F.broadcast(weights), label)  # one row per class
 
 
@@ -268,7 +269,7 @@ def overall_metrics(pred: DataFrame) -> DataFrame:
         F.sum("n").alias("n"), half_even(ratio(F.sum(F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0)), F.sum("n")), 4).alias("accuracy")
     )
     macro = class_metrics(pred).filter("support > 0").agg(half_even(F.sum(F.col("f1").cast("decimal(12,4)")).cast("double") / F.count(F.lit(1)).cast("double"), 4).alias("f1_macro"))
-    return totals.crossJoin(F.broadcast(macro))  # two single rows
+    return one_row(totals, macro)
 
 
 def confusion_matrix(pred: DataFrame, labels: Sequence[str]) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from culvert.functions import ruletables as R
 from culvert.functions.numeric import half_even
 from culvert.operators.anomalies import severity_rank
-from culvert.plans.skew import sliced_lag
+from culvert.plans.skew import one_row, sliced_lag
 
 GENESIS = "0" * 64
 CHAIN_SLICE = 65_536
@@ -147,7 +147,8 @@ def append_entries(log: DataFrame, saves: DataFrame) -> DataFrame:
     through one task as a stream of Arrow batches that keeps only the previous hash.
     """
     head = log.agg(F.max("seq").alias("_seq"), F.max_by("entry_hash", "seq").alias("_hash"))
-    fresh = new_entries(log, saves).crossJoin(F.broadcast(head))  # head: a single row by construction
+    one = F.lit(1).alias("_one")
+    fresh = new_entries(log, saves).select("*", one).join(F.broadcast(head.select("*", one)), "_one")  # head: one row by construction
     fresh = fresh.repartition(1).sortWithinPartitions("order_no")
 
     named = fresh.withColumnsRenamed({"_seq": "seq0", "_hash": "hash0"})
@@ -202,5 +203,4 @@ def verify_chain(log: DataFrame, current: DataFrame) -> DataFrame:
     head = log.agg(F.count(F.lit(1)).alias("entries"), F.coalesce(F.max_by("entry_hash", "seq"), F.lit(GENESIS)).alias("head_hash"))
     broken = chain_breaks(log).agg(F.min("seq").alias("chain_broken_at_seq"))
     tampered = tampered_jobs(log, current).agg(F.count(F.lit(1)).alias("tampered"))
-    one = head.crossJoin(F.broadcast(broken)).crossJoin(F.broadcast(tampered))  # three single rows
-    return one.withColumn("ok", F.col("chain_broken_at_seq").isNull() & (F.col("tampered") == 0))
+    return one_row(head, broken, tampered).withColumn("ok", F.col("chain_broken_at_seq").isNull() & (F.col("tampered") == 0))

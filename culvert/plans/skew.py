@@ -139,3 +139,9 @@ def sliced_rank(df: DataFrame, keys: Sequence[str], order: str, width: int, out:
     numbered = sliced.withColumn("_in", F.row_number().over(inner) - 1)
     ranked = numbered.join(offsets, [*keys, "_slice"])
     return ranked.withColumn(out, F.col("_offset") + F.col("_in")).drop("_slice", "_in", "_offset")
+
+
+def one_row(*rows: DataFrame) -> DataFrame:
+    """Single-row aggregates side by side, as one row; no join."""
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
