@@ -215,7 +215,7 @@ def reconcile(sessions: DataFrame, records: DataFrame) -> DataFrame:
     by_pair = record_facts(records, F.when(F.col("local").isNotNull() | F.col("remote").isNotNull(), peer_pair(F.col("local"), F.col("remote"))))
 
     def look_up(rows: DataFrame, key: str, facts: DataFrame) -> DataFrame:
-        counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+        counts = s.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))  # from the source: the look-ups keep every row
         packed = facts.select(F.col("match_key").alias(key), F.struct(*VALUE_FIELDS, "said").alias(f"{key}_f"))
         return attach(rows, counts.join(packed, key, "left"), [key], "_n").drop("_n")
 
