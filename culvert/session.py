@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -36,10 +37,12 @@ def build_session(master: str | None = None, app: str = "culvert", **conf: str)
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A folder every executor can reach, below the one the cluster names for checkpoints.
 
-    Only a session without ``spark.checkpoint.dir`` (a local test) gets a temporary folder.
+    Only a local session without ``spark.checkpoint.dir`` (a test) gets a temporary folder; a cluster must name one.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "local")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="culvert-")
         spark.conf.set("spark.checkpoint.dir", root)
     return os.path.join(root, purpose) if "://" not in root else f"{root.rstrip('/')}/{purpose}"
