@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from culvert.llm import substrings
+from culvert.llm import bpe, simhash, substrings, token_counts
 
 QUERIES = {
+    "op5_token_counts": token_counts.op5_token_counts,
+    "op6_bpe_round_trip": bpe.op6_bpe_round_trip,
+    "op8_simhash_components": simhash.op8_simhash_components,
     "op9_substring_dedup": substrings.op9_substring_dedup,
 }
 

@@ -27,11 +27,12 @@ from culvert.llm.common import NULL_ID, Memo, added, append, arrow_map, free_nam
 WINDOW = 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: a task packs the windows of about this many bytes of text at a time
-PACK_BYTES = 16 << 20
+PACK_BYTES = 8 << 20
 #: one hash range holds the windows of about this many bytes of text
 RANGE_BYTES = 16 << 20
 PACKED = "part long, hashes binary, starts binary, ids array<long>, uids array<long>, bases array<int>"
-FOUND = "id long, uid long, starts array<int>"
+FOUND = "slot long, ids array<long>, uids array<long>, starts array<int>"
+MERGED = "id long, uid long, starts array<int>"
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -128,16 +129,35 @@ def _pack_batches(batches: Iterator[pa.RecordBatch], width: int, parts: int) ->
         yield _packed(rows)
 
 
-def _by_document(ids: np.ndarray, uids: np.ndarray, starts: np.ndarray) -> pa.Table:
+def _lists(heads: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(heads, len(values)), pa.int32()), pa.array(values, kind))
+
+
+def _heads(*keys: np.ndarray) -> np.ndarray:
+    """Where a run of equal keys begins."""
+    if not len(keys[0]):
+        return np.empty(0, np.int64)
+    return np.flatnonzero(np.concatenate(([True], np.logical_or.reduce([k[1:] != k[:-1] for k in keys]))))
+
+
+def _by_slot(ids: np.ndarray, uids: np.ndarray, starts: np.ndarray, parts: int) -> pa.Table:
+    """One row for each slot of documents, so that the rows of a range don't multiply with the documents."""
+    order = np.lexsort((starts, uids, ids, uids % parts))
+    ids, uids, starts = ids[order], uids[order], starts[order]
+    heads = _heads(uids % parts)
+    return pa.table({"slot": pa.array(uids[heads] % parts), "ids": _lists(heads, ids, pa.int64()), "uids": _lists(heads, uids, pa.int64()), "starts": _lists(heads, starts, pa.int32())})
+
+
+def _by_document(group: pa.Table) -> pa.Table:
+    ids, uids, starts = (group.column(c).combine_chunks().flatten().to_numpy() for c in ("ids", "uids", "starts"))
     order = np.lexsort((starts, uids, ids))
     ids, uids, starts = ids[order], uids[order], starts[order]
-    heads = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (uids[1:] != uids[:-1])))) if len(ids) else np.empty(0, np.int64)
-    lists = pa.ListArray.from_arrays(pa.array(np.append(heads, len(ids)), pa.int32()), pa.array(starts, pa.int32()))
-    return pa.table({"id": pa.array(ids[heads]), "uid": pa.array(uids[heads]), "starts": lists})
+    heads = _heads(ids, uids)
+    return pa.table({"id": pa.array(ids[heads]), "uid": pa.array(uids[heads]), "starts": _lists(heads, starts, pa.int32())})
 
 
-def _find(group: pa.Table) -> pa.Table:
-    """Of one hash range: every occurrence behind the first of its hash, by document."""
+def _find(group: pa.Table, parts: int) -> pa.Table:
+    """Of one hash range: every occurrence behind the first of its hash."""
     slot, hashes, at, ids, uids, bases, offset = [], [], [], [], [], [], 0
     for r in group.to_pylist():
         starts = unplanes(r["starts"], np.uint32).astype(np.int64)
@@ -151,7 +171,7 @@ def _find(group: pa.Table) -> pa.Table:
         hashes.append(np.cumsum(unplanes(r["hashes"], np.uint64), dtype=np.uint64) if r["hashes"] else np.empty(0, np.uint64))
     slot, at, ids, uids, hashes = (np.concatenate(x) for x in (slot, at, ids, uids, hashes))
     if not len(hashes):  # occurrences that repeat inside a batch
-        return _by_document(ids[slot], uids[slot], at)
+        return _by_slot(ids[slot], uids[slot], at, parts)
     order = np.argsort(hashes)
     same = hashes[order][1:] == hashes[order][:-1]
     order = order[np.concatenate(([False], same)) | np.concatenate((same, [False]))]  # hashes of two or more batches
@@ -161,7 +181,7 @@ def _find(group: pa.Table) -> pa.Table:
     head = np.concatenate(([True], h[1:] != h[:-1])) if len(h) else np.empty(0, bool)
     lead = np.maximum.accumulate(np.where(head, np.arange(len(h)), 0))
     later = (i != i[lead]) | (u != u[lead]) | (s != s[lead])
-    return _by_document(i[later], u[later], s[later])
+    return _by_slot(i[later], u[later], s[later], parts)
 
 
 def intervals(starts: np.ndarray, width: int) -> list[tuple[int, int]]:
@@ -214,8 +234,12 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     parts = max(1, math.ceil(size / RANGE_BYTES))
     packed = arrow_map(rows, partial(_pack_batches, width=width, parts=parts), PACKED)
     prepare(docs.sparkSession)
-    found = packed.groupBy("part").applyInArrow(_find, FOUND)
-    return found.groupBy("id", "uid").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+
+    def find(group: pa.Table) -> pa.Table:
+        return _find(group, parts)
+
+    found = packed.groupBy("part").applyInArrow(find, FOUND)
+    return found.groupBy("slot").applyInArrow(_by_document, MERGED)
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW) -> DataFrame:
