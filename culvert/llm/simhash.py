@@ -66,13 +66,20 @@ def links_of(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     near = [m for size in range(half + 1) for m in _masks(range(64), size)]
     far = _masks(range(32), half + 1) + _masks(range(32, 64), half + 1) if radius % 2 else []
 
-    def variants(rows: DataFrame, masks: list[int]) -> DataFrame:
-        return rows.select("fp", F.explode(F.lit(masks).cast(T.ArrayType(T.LongType(), False))).alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("key"))
-
-    close = variants(prints, near)
-    wide = close.union(variants(prints.filter(F.bit_count("fp") % 2 == 0), far)) if far else close
-    hubs = close.groupBy("key").agg(F.min("fp").alias("hub"))
-    met = wide.join(hubs.hint("shuffle_hash"), "key").filter("fp <> hub")
+    masks = F.lit(near + far).cast(T.ArrayType(T.LongType(), False))
+    # a variant grows to hundreds of rows: deal the few columns of fingerprints out evenly first
+    prints = prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+
+    def variants(rows: DataFrame, chosen: list[int], first: int) -> DataFrame:
+        """key, pos: the fingerprint comes back as key ^ masks[pos], which takes less room than the fingerprint."""
+        spread = rows.select("fp", F.posexplode(F.lit(chosen).cast(T.ArrayType(T.LongType(), False))))
+        return spread.select(F.col("fp").bitwiseXOR(F.col("col")).alias("key"), (F.col("pos") + F.lit(first)).alias("pos"))
+
+    close = variants(prints, near, 0)
+    wide = close.union(variants(prints.filter(F.bit_count("fp") % 2 == 0), far, len(near))) if far else close
+    own = F.col("key").bitwiseXOR(masks[F.col("pos")])
+    hubs = close.groupBy("key").agg(F.min(own).alias("hub"))
+    met = wide.join(hubs.hint("shuffle_hash"), "key").select("hub", own.alias("fp")).filter("fp <> hub")
     pairs = met.select(F.col("hub").alias("a"), F.col("fp").alias("b")).distinct()
     return pairs.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 
