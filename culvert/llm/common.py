@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,3 +86,37 @@ class Memo(dict):
             self.clear()
         value = self[key] = self.compute(key)
         return value
+
+
+def mix(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A 64-bit key of two keys, in order."""
+    with np.errstate(over="ignore"):
+        x = left * np.uint64(0x9E3779B97F4A7C15) + right
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
+class Keys:
+    """Sorted evenly spread 64-bit keys, found by shards of their high bits."""
+
+    SHARD_BITS = 18
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.shift = keys, np.uint64(64 - self.SHARD_BITS)
+        self.begin = np.searchsorted(keys >> self.shift, np.arange((1 << self.SHARD_BITS) + 1, dtype=np.uint64)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Where each key stands; the number of keys if it is unknown."""
+        shard = (keys >> self.shift).astype(np.int64)
+        at, end = self.begin[shard], self.begin[shard + 1]
+        out = np.full(len(keys), len(self.keys), np.int64)
+        left = np.flatnonzero(at < end)
+        while len(left):
+            here = at[left]
+            own = self.keys[here]
+            hit = own == keys[left]
+            out[left[hit]] = here[hit]
+            at[left] += 1
+            left = left[(own < keys[left]) & (at[left] < end[left])]
+        return out
