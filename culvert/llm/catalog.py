@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from culvert.llm import bpe, kneser_ney, line_rules, mixing, simhash, substrings, suffix_tree, threshold_topk, token_counts
+from culvert.llm import bpe, html_render, kneser_ney, line_rules, mixing, simhash, substrings, suffix_tree, threshold_topk, token_counts
 
 QUERIES = {
     "op1_source_mixing": mixing.op1_source_mixing,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_threshold_topk": threshold_topk.op4_threshold_topk,
     "op5_token_counts": token_counts.op5_token_counts,
     "op6_bpe_round_trip": bpe.op6_bpe_round_trip,
+    "op7_html_rendering": html_render.op7_html_rendering,
     "op8_simhash_components": simhash.op8_simhash_components,
     "op9_substring_dedup": substrings.op9_substring_dedup,
     "op10_quality_classifier": kneser_ney.op10_quality_classifier,
