@@ -113,8 +113,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows that repeat keep a row each; a null id never names a component unless nothing else is in it. An empty table
     gives an empty result; further columns are ignored.
     """
-    rows = labelled(docs, id_col, text_col, shingle, radius, 1)
-    least = rows.groupBy("label").agg(F.min("id").alias("component_id"))
+    rows = materialise(labelled(docs, id_col, text_col, shingle, radius, 1), "labelled")
+    # stored, so that the join reads it by an exchange of its own and a large component's rows can be split
+    least = materialise(rows.groupBy("label").agg(F.min("id").alias("component_id")), "components")
     return rows.join(least, "label").select("id", F.col("fps")[0].alias("fp"), "component_id")
 
 
