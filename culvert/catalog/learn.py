@@ -64,7 +64,7 @@ SELECT (SELECT count(*) FROM preds) AS n, (SELECT {r4('count(*) FILTER (label =
 add(
     "confusion_matrix",
     lambda s, d: O.confusion_matrix(S.predictions(s, d), CLASSES),
-    f"WITH {PREDS} SELECT label, " + ", ".join(f"count(*) FILTER (prediction = '{c}') AS {c}" for c in CLASSES) + " FROM preds GROUP BY label",
+    f"WITH {PREDS} SELECT label, " + ", ".join(f"count(*) FILTER (prediction = '{c}') AS {c}" for c in CLASSES) + ", count(*) FILTER (prediction IS NULL OR prediction NOT IN (" + ", ".join(f"'{c}'" for c in CLASSES) + ")) AS other FROM preds GROUP BY label",
 )
 add("confusion_pairs", lambda s, d: O.confusion_pairs(S.predictions(s, d)), f"WITH {PREDS} SELECT label, prediction, count(*) AS n FROM preds WHERE label <> prediction GROUP BY ALL")
 

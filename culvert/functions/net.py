@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ipaddress
 from functools import reduce
 
 from pyspark.sql import Column
@@ -22,8 +23,11 @@ PRIVATE_V4 = (
     ("203.0.113.0", "203.0.113.255"),
     ("240.0.0.0", "255.255.255.255"),
 )
-# IPv6 prefixes treated as not public, as lower-case hex of the leading bits.
-PRIVATE_V6_HEX = ("fc", "fd", "fe8", "fe9", "fea", "feb", "20010db8", "20010000", "0000000000000000")
+# Addresses inside those ranges that are public.
+PUBLIC_V4 = ("192.0.0.9", "192.0.0.10")
+# IPv6 networks treated as not public, and those inside them that are public.
+PRIVATE_V6 = ("::/128", "::1/128", "64:ff9b:1::/48", "100::/64", "2001::/23", "2001:db8::/32", "2002::/16", "3fff::/20", "fc00::/7", "fe80::/10")
+PUBLIC_V6 = ("2001:1::1/128", "2001:1::2/128", "2001:3::/32", "2001:4:112::/48", "2001:20::/28", "2001:30::/28")
 
 _OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 V4_PATTERN = rf"^{_OCTET}(\.{_OCTET}){{3}}$"
@@ -47,7 +51,10 @@ def ipv4_to_long(ip: Column) -> Column:
 
 
 def ipv6_hex(ip: Column) -> Column:
-    """IPv6 text (one optional ``::``) as 32 hex digits, NULL when it is not that."""
+    """IPv6 text (one optional ``::``, dotted last 32 bits allowed) as 32 hex digits, NULL when it is not that."""
+    dotted = ipv4_to_long(F.regexp_extract(ip, r":([0-9.]+)$", 1))
+    digits = F.lpad(F.hex(dotted), 8, "0")
+    ip = F.when(dotted.isNotNull(), F.concat(F.regexp_extract(ip, r"^(.*:)[0-9.]+$", 1), F.substring(digits, 1, 4), F.lit(":"), F.substring(digits, 5, 4))).otherwise(ip)
     halves = F.split(F.lower(ip), "::")
     head = F.filter(F.split(F.try_element_at(halves, F.lit(1)), ":"), lambda g: g != "")
     tail = F.filter(F.split(F.coalesce(F.try_element_at(halves, F.lit(2)), F.lit("")), ":"), lambda g: g != "")
@@ -67,12 +74,28 @@ def ipv6_hex(ip: Column) -> Column:
     return F.when(well_formed, F.concat(pad(head), zeros, pad(tail)))
 
 
+def _inside_v4(number: Column) -> Column:
+    inside = reduce(lambda a, b: a | b, [number.between(v4_number(lo), v4_number(hi)) for lo, hi in PRIVATE_V4])
+    return inside & ~number.isin(*[v4_number(a) for a in PUBLIC_V4])
+
+
+def _inside_v6(digits: Column, networks: tuple[str, ...]) -> Column:
+    """Equal length hex compares like the number."""
+    nets = [ipaddress.ip_network(n) for n in networks]
+    return reduce(lambda a, b: a | b, [digits.between(*(f"{int(x):032x}" for x in (n[0], n[-1]))) for n in nets])
+
+
 def is_public(ip: Column) -> Column:
-    """True for a parsable address outside the fixed ranges; unparsable is not public."""
+    """True for a parsable address outside the fixed ranges; unparsable is not public.
+
+    An IPv6 address that maps an IPv4 one is judged by the latter.
+    """
     number, digits = ipv4_to_long(ip), ipv6_hex(ip)
-    private4 = reduce(lambda a, b: a | b, [number.between(v4_number(lo), v4_number(hi)) for lo, hi in PRIVATE_V4])
-    private6 = reduce(lambda a, b: a | b, [digits.startswith(p) for p in PRIVATE_V6_HEX])
-    return F.when(number.isNotNull(), ~private4).when(digits.isNotNull(), ~private6).otherwise(F.lit(False))
+    mapped = F.when(digits.startswith("0" * 20 + "ffff"), F.conv(F.substring(digits, 25, 8), 16, 10).cast("bigint"))
+    private6 = _inside_v6(digits, PRIVATE_V6) & ~_inside_v6(digits, PUBLIC_V6)
+    return (
+        F.when(number.isNotNull(), ~_inside_v4(number)).when(mapped.isNotNull(), ~_inside_v4(mapped)).when(digits.isNotNull(), ~private6).otherwise(F.lit(False))
+    )
 
 
 def peer_pair(a: Column, b: Column) -> Column:

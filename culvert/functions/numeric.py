@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-EXACT_LIMIT = 1e24  # above it n * sum(x^2) may leave DECIMAL(38,0)
-
 
 def half_even(value: Column, digits: int = 0) -> Column:
     """Round half to even at ``digits`` decimals, in plain double arithmetic."""
@@ -17,12 +15,15 @@ def half_even(value: Column, digits: int = 0) -> Column:
 
 
 def spread(n: Column, total: Column, squares: Column) -> Column:
-    """n * sum(x^2) - (sum x)^2, exact on integers wherever DECIMAL(38,0) can hold it."""
-    wide_t = total.cast("decimal(19,0)")
-    narrow = n.cast("decimal(14,0)") * squares.cast("decimal(24,0)") - wide_t * wide_t
-    rough = n.cast("double") * squares.cast("double") - total.cast("double") * total.cast("double")
-    fits = (squares.cast("double") < EXACT_LIMIT) & (n < F.lit(10**13))
-    return F.when(fits, narrow.cast("double")).otherwise(F.greatest(rough, F.lit(0.0)))
+    """n * sum(x^2) - (sum x)^2 of integers.
+
+    With (sum x) = q * n + r this is n * (sum(x^2) - q * (sum x + r)) - r^2: the bracket, the sum of squares about q,
+    is exact in DECIMAL(38,0) at every size, and no digits cancel after it.
+    """
+    q = F.floor(total / n).cast("decimal(19,0)")
+    t, rest = total.cast("decimal(19,0)"), total - F.floor(total / n) * n
+    about = squares.cast("decimal(38,0)") - (q * (t + rest.cast("decimal(18,0)"))).cast("decimal(38,0)")
+    return n.cast("double") * about.cast("double") - rest.cast("double") * rest.cast("double")
 
 
 def pop_std(n: Column, total: Column, squares: Column) -> Column:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from culvert.functions.ids import uuid5
 from culvert.functions.net import is_public
+from culvert.functions.ruletables import SEVERITIES
 from culvert.plans.skew import attach
 
 # Thresholds and name fragments of weak suites.
@@ -196,7 +197,7 @@ def fold_by_type(events: DataFrame, evidence: DataFrame) -> DataFrame:
     frames = evidence.select("anomaly_type", "frame").distinct().groupBy("anomaly_type").agg(
         F.count(F.lit(1)).alias("frames"), F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame")
     )
-    names = F.when(F.col("_rank") == 0, "CRITICAL").when(F.col("_rank") == 1, "HIGH").otherwise("MEDIUM")
+    names = F.element_at(F.array(*map(F.lit, SEVERITIES)), F.col("_rank") + 1)
     return (
         base.join(frames, "anomaly_type", "left")
         .select("anomaly_type", names.alias("severity"), "events", "sessions", F.coalesce("frames", F.lit(0)).alias("frames"), "first_frame", "last_frame", "_rank")

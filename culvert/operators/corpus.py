@@ -93,10 +93,10 @@ def class_balance(labels: DataFrame, label: str, classes: Sequence[str] | None =
 
 
 def coverage(labels: DataFrame, dimensions: Sequence[str], label: str, classes: Sequence[str]) -> DataFrame:
-    """Rows per (dimension, value) and class, wide."""
+    """Rows per (dimension, value) and class, wide; ``other`` counts what is in no class."""
     pairs = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value")) for d in dimensions]))
-    long = labels.select(pairs.alias("p"), F.col(label).alias("_class")).select("p.*", "_class")
-    wide = long.groupBy("dimension", "value").pivot("_class", list(classes)).agg(F.count(F.lit(1)))
+    long = labels.select(pairs.alias("p"), F.when(F.col(label).isin(*classes), F.col(label)).otherwise("other").alias("_class")).select("p.*", "_class")
+    wide = long.groupBy("dimension", "value").pivot("_class", [*classes, "other"]).agg(F.count(F.lit(1)))
     return wide.na.fill(0)
 
 
@@ -131,6 +131,7 @@ def readdress(packets: DataFrame, keys: Sequence[str], left: Column, right: Colu
 
 # --- label files ---------------------------------------------------------------------------------
 
+# Keys of label files and the values that some may take.
 TOP_KEYS = ("pcap", "traffic_class", "substitution", "generator", "duration_sec", "config", "harness_notes", "captured_at", "testbed_commit")
 CONFIG_KEYS = ("version", "mode", "encryption", "integrity", "dh_group", "pfs_status", "auth_method", "ip_version", "ike_version")
 ALLOWED = {"mode": ("tunnel", "transport"), "pfs_status": ("enabled", "disabled"), "ip_version": ("IPv4", "IPv6"), "version": ("IKEv2",)}

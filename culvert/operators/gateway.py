@@ -179,8 +179,10 @@ def record_facts(records: DataFrame, key: Column) -> DataFrame:
     the set per key is bounded however many records share it.
     """
     keyed = records.withColumn("match_key", key).filter(F.col("match_key").isNotNull())
+    # positions restart in every text
+    order = F.struct("path", "rec_ix") if "path" in records.columns else F.col("rec_ix")
     firsts = [
-        F.min_by(F.struct("rec_ix", _as_text(f).alias("value")), F.when(F.col(f).isNotNull(), F.col("rec_ix"))).alias(f)
+        F.min_by(F.struct("rec_ix", _as_text(f).alias("value")), F.when(F.col(f).isNotNull(), order)).alias(f)
         for f in VALUE_FIELDS
     ]
     said = F.filter(
@@ -254,6 +256,8 @@ def apply_to_sessions(reconciled: DataFrame) -> DataFrame:
         elif name == "inferred_fields":
             took = F.filter(F.array(*[F.when(~F.col(f"new_{f}").eqNullSafe(F.col(f"ike.{f}").cast("string")), F.lit(f)) for f in VALUE_FIELDS]), lambda x: x.isNotNull())
             old = F.array_except(F.array_except(old, "filled"), took)
+        elif name == "mode_confidence":  # a stated mode is no guess
+            old = F.when(~F.array_contains("filled", "mode"), old)
         elif name == "gateway_fields":
             old = F.array_union(old, "filled")
         elif name == "gateway_mismatches":

@@ -273,9 +273,10 @@ def overall_metrics(pred: DataFrame) -> DataFrame:
 
 
 def confusion_matrix(pred: DataFrame, labels: Sequence[str]) -> DataFrame:
-    """Every label x label cell, zeros included, as a pivot with fixed columns."""
-    wide = confusion_counts(pred).groupBy("label").pivot("prediction", list(labels)).agg(F.sum("n"))
-    return wide.na.fill(0, subset=list(labels))
+    """Every label x label cell, zeros included, as a pivot with fixed columns; ``other`` counts further predictions."""
+    named = confusion_counts(pred).withColumn("prediction", F.when(F.col("prediction").isin(*labels), F.col("prediction")).otherwise("other"))
+    wide = named.groupBy("label").pivot("prediction", [*labels, "other"]).agg(F.sum("n"))
+    return wide.na.fill(0, subset=[*labels, "other"])
 
 
 def confusion_pairs(pred: DataFrame) -> DataFrame:

@@ -17,9 +17,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_KEYS = 1000  # a key outside the 1000 most frequent holds under 0.1 % of the rows
-HOT_ROWS = 1_000_000  # below this many rows a key is never worth splitting
-SALTS = 64
+#: a key with at least one row in so many of the total is split; at most so many keys can hold that share
+SHARE = 10_000
 
 
 def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
@@ -71,28 +70,21 @@ def attach(
     keys: Sequence[str],
     weight: str,
     how: str = "left",
-    hot_rows: int = HOT_ROWS,
-    salts: int = SALTS,
+    share: int = SHARE,
 ) -> DataFrame:
     """Join one fact row per key to many rows; ``weight`` is the key's row count in ``facts``.
 
-    Keys with at least ``hot_rows`` rows (and among the ``HOT_KEYS`` most frequent) are spread
-    over ``salts`` sub-keys. The hot list has at most ``HOT_KEYS`` rows, so broadcasting it is
-    bounded whatever the data size; every other key takes the ordinary shuffled join.
+    A key that holds at least 1 / ``share`` of all rows is spread over sub-keys in proportion, two for each such
+    share. There are at most ``share`` such keys, so broadcasting their list is bounded whatever the data size, and
+    the list is complete; every other key takes the ordinary shuffled join.
     """
     keys = list(keys)
-    hot = (
-        facts.filter(F.col(weight) >= hot_rows)
-        .orderBy(F.col(weight).desc())
-        .limit(HOT_KEYS)
-        .select(*keys, F.lit(True).alias("_hot"))
-    )
+    total = facts.agg(F.sum(weight).alias("_total")).scalar()
+    hot = facts.filter(F.col(weight) * share >= total).select(*keys, F.ceil(F.col(weight) * (2 * share) / total).cast("int").alias("_hot"))
     # the partition number spreads exact copies of one row, which any hash of the row would keep together
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns], F.spark_partition_id()), F.lit(salts)).cast("int")
-    salted_rows = rows.join(F.broadcast(hot), keys, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), salt).otherwise(F.lit(0))
-    )
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns], F.spark_partition_id()), F.col("_hot")).cast("int")
+    salted_rows = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.coalesce(salt, F.lit(0)))
+    copies = F.sequence(F.lit(0), F.coalesce(F.col("_hot"), F.lit(1)) - 1)
     salted_facts = facts.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(copies))
     return salted_rows.drop("_hot").join(salted_facts.drop("_hot"), [*keys, "_salt"], how).drop("_salt")
 

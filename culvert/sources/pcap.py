@@ -24,7 +24,6 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 RECORD_DDL = "capture_id string, frame bigint, t_us bigint, link int, data binary"
 BATCH = 10_000
-CAP_BYTES = 512 * 1024 * 1024
 
 # First four bytes of capture files, as hex.
 CLASSIC_MAGIC = {"d4c3b2a1": ("<", 1), "a1b2c3d4": (">", 1), "4d3cb2a1": ("<", 1000), "a1b23c4d": (">", 1000)}
@@ -95,15 +94,15 @@ def _ticks_per_second(order: str, options: bytes) -> int:
     return 1_000_000
 
 
-def sniff(files: DataFrame, cap: int = CAP_BYTES) -> DataFrame:
-    """Add ``verdict`` to binaryFile rows: ``ok``, ``not a capture`` or ``too large``."""
+def sniff(files: DataFrame, cap: int | None = None) -> DataFrame:
+    """Add ``verdict`` to binaryFile rows: ``ok``, ``not a capture``, or ``too large`` for a given cap."""
     magic = F.lower(F.hex(F.substring("content", 1, 4)))
     return files.withColumn(
-        "verdict", F.when(F.col("length") > cap, "too large").when(magic.isin(*MAGICS), "ok").otherwise("not a capture")
+        "verdict", F.when(F.lit(False) if cap is None else F.col("length") > cap, "too large").when(magic.isin(*MAGICS), "ok").otherwise("not a capture")
     )
 
 
-def rejected_captures(spark: SparkSession, path: str, cap: int = CAP_BYTES) -> DataFrame:
+def rejected_captures(spark: SparkSession, path: str, cap: int | None = None) -> DataFrame:
     files = spark.read.format("binaryFile").load(path)
     return sniff(files, cap).filter("verdict <> 'ok'").select("path", "length", "verdict")
 
@@ -122,9 +121,10 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame(rows, columns=columns)
 
 
-def read_captures(spark: SparkSession, path: str, cap: int = CAP_BYTES) -> DataFrame:
+def read_captures(spark: SparkSession, path: str, cap: int | None = None) -> DataFrame:
     """Raw packet records of every acceptable capture below ``path``; ``capture_id`` is the file name."""
-    files = sniff(spark.read.format("binaryFile").load(path).filter(F.col("length") <= cap), cap).filter("verdict = 'ok'")
+    files = spark.read.format("binaryFile").load(path)
+    files = sniff(files if cap is None else files.filter(F.col("length") <= cap), cap).filter("verdict = 'ok'")
     named = files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("capture_id"), "content")
     return named.mapInPandas(_cut, RECORD_DDL)
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.utils import AnalysisException
 
 
@@ -17,7 +19,9 @@ def last_rows(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
 
 
 def _partition(root: str, table: str, job_id: str) -> str:
-    return f"{root.rstrip('/')}/{table}/job_id={job_id}"
+    """Folder of a job, with the characters escaped that Spark escapes in partition values."""
+    value = re.sub(r"[\x00-\x1f\"#%'*/:=?\\{}\[\]^\x7f]", lambda m: f"%{ord(m[0]):02X}", job_id)
+    return f"{root.rstrip('/')}/{table}/job_id={value}"
 
 
 def save_job(root: str, job_id: str, tables: dict[str, DataFrame]) -> None:
@@ -37,8 +41,11 @@ def save_jobs(root: str, name: str, df: DataFrame) -> None:
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    df = spark.read.option("mergeSchema", "true").option("basePath", f"{root.rstrip('/')}/{name}").parquet(f"{root.rstrip('/')}/{name}")
-    return df.withColumn("job_id", F.col("job_id").cast("string"))
+    """A result table; ids of jobs are text as saved, whatever they look like."""
+    path = f"{root.rstrip('/')}/{name}"
+    found = spark.read.option("mergeSchema", "true").option("basePath", path).parquet(path).schema
+    typed = StructType([StructField(f.name, StringType() if f.name == "job_id" else f.dataType) for f in found])
+    return spark.read.schema(typed).option("basePath", path).parquet(path)
 
 
 def table_exists(spark: SparkSession, root: str, name: str) -> bool:

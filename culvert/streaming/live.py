@@ -12,10 +12,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-TICK = "2 seconds"  # fixed values: pacing and packet cap of a live run
-MAX_PACKETS = 250_000
+TICK = "2 seconds"  # fixed value: pacing of a live run
 FINGERPRINT = ("risk_score", "pkt_total", "predicted_type")
 
 
@@ -66,19 +65,24 @@ def current_state(log: DataFrame) -> DataFrame:
 class LiveRun:
     """A stream over a growing packet table that keeps per-capture results current.
 
-    ``analyse`` maps all packets of the touched captures to results carrying ``capture``. Packets
-    and results are tables partitioned by capture below ``root``; a replayed batch overwrites the
-    same ``batch`` partition, so a restart never counts packets twice.
+    ``analyse`` maps all packets of the touched captures to results carrying ``capture``. Packets, touched captures
+    and results are tables partitioned by batch below ``root``; a replayed batch overwrites its own partitions, so a
+    restart never counts packets twice. A capture's results are those of the last batch that touched it, none if that
+    analysis found none. Without ``max_packets`` a run has no end of its own.
     """
 
-    def __init__(self, root: str, analyse: Callable[[DataFrame], DataFrame], capture: str = "capture_id", max_packets: int = MAX_PACKETS):
+    def __init__(self, root: str, analyse: Callable[[DataFrame], DataFrame], capture: str = "capture_id", max_packets: int | None = None):
         self.root, self.analyse, self.capture, self.max_packets = root.rstrip("/"), analyse, capture, max_packets
-        self.packets_seen = 0
+        self.packets_seen, self.schema = 0, None
 
     @property
     def packets_path(self) -> str:
         return f"{self.root}/packets"
 
+    @property
+    def touched_path(self) -> str:
+        return f"{self.root}/touched"
+
     @property
     def results_path(self) -> str:
         return f"{self.root}/results"
@@ -87,13 +91,18 @@ class LiveRun:
         spark, cap = batch.sparkSession, self.capture
         if batch.isEmpty():
             return
-        stamped = batch.withColumn("batch", F.lit(batch_id))
-        stamped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", cap).parquet(self.packets_path)
+        self._write(batch, batch_id, self.packets_path)
         known = spark.read.parquet(self.packets_path)
-        touched = known.filter(F.col("batch") == batch_id).select(cap).distinct()
-        self.packets_seen = known.count()
-        results = self.analyse(known.join(touched, cap, "left_semi").drop("batch"))
-        results.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(cap).parquet(self.results_path)
+        self._write(known.filter(F.col("batch") == batch_id).groupBy(cap).agg(F.count("*").alias("packets")), batch_id, self.touched_path)
+        touched = spark.read.parquet(self.touched_path)
+        self.packets_seen = touched.agg(F.sum("packets")).first()[0]
+        results = self.analyse(known.join(touched.filter(F.col("batch") == batch_id), cap, "left_semi").drop("batch"))
+        self.schema = results.schema
+        self._write(results, batch_id, self.results_path)
+
+    @staticmethod
+    def _write(df: DataFrame, batch_id: int, path: str) -> None:
+        df.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
 
     def start(self, stream: DataFrame, checkpoint: str, available_now: bool = False) -> StreamingQuery:
         writer = stream.writeStream.foreachBatch(self.on_batch).option("checkpointLocation", checkpoint)
@@ -102,13 +111,15 @@ class LiveRun:
     def run_until_full(self, query: StreamingQuery, poll: float = 0.5) -> None:
         """Stop the query once the packet cap is reached."""
         while query.isActive:
-            if self.packets_seen >= self.max_packets:
+            if self.max_packets is not None and self.packets_seen >= self.max_packets:
                 query.stop()
                 return
             time.sleep(poll)
 
     def results(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(self.results_path)
+        last = spark.read.parquet(self.touched_path).groupBy(self.capture).agg(F.max("batch").alias("batch"))
+        reader = spark.read if self.schema is None else spark.read.schema(StructType([*self.schema.fields, StructField("batch", IntegerType())]))
+        return reader.parquet(self.results_path).join(last, [self.capture, "batch"]).drop("batch")
 
 
 def packet_stream(spark: SparkSession, path: str, schema: StructType, files_per_tick: int | None = None) -> DataFrame:

@@ -85,7 +85,7 @@ def test_skew_helpers(spark):
         vs = [v for _, v in items]
         assert medians[k] == (vs[(len(vs) - 1) // 2] + vs[len(vs) // 2]) / 2
     facts = df.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-    joined = skew.attach(df, facts, ["k"], "n", "inner", hot_rows=100, salts=8)
+    joined = skew.attach(df, facts, ["k"], "n", "inner", share=20)
     assert joined.count() == 800 and {(r["k"], r["n"]) for r in joined.collect()} == {(k, len(v)) for k, v in by_key.items()}
 
 
