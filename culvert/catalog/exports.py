@@ -22,13 +22,11 @@ def _documents(s, d):
 add(
     "json_documents",
     _documents,
-    f"""WITH {ASSESSED}, {EVENTS}, st AS (SELECT * FROM assessed QUALIFY row_number() OVER (PARTITION BY job_id, session_id ORDER BY created_us DESC, row_no DESC) = 1),
-n AS (SELECT *, ceil(count(*) OVER (PARTITION BY job_id, session_id) / 1000.0)::BIGINT AS parts FROM ev),
-g AS (SELECT job_id, session_id, (('0x' || substr(anomaly_id, 1, 8))::BIGINT % parts)::BIGINT AS part,
- string_agg(to_json({{'anomaly_id': anomaly_id, 'anomaly_type': anomaly_type, 'severity': severity, 'description': description, 't_us': t_us}})::VARCHAR, ',' ORDER BY anomaly_id, t_us NULLS FIRST) AS an FROM n GROUP BY ALL)
-SELECT job_id, session_id, coalesce(part, 0) AS part, rtrim(to_json({{'session_id': session_id, 'initiator_ip': initiator_ip, 'responder_ip': responder_ip, 'risk_score': risk_score, 'overall_severity': overall_severity,
- 'triggered_rules': CASE WHEN triggered_rules = '' THEN CAST([] AS VARCHAR[]) ELSE string_split(triggered_rules, ',') END}})::VARCHAR, '}}') || ',"anomalies":[' || coalesce(an, '') || ']}}' AS document
-FROM st LEFT JOIN g USING (job_id, session_id)""",
+    f"""WITH {ASSESSED}, {EVENTS}, st AS (SELECT * FROM assessed QUALIFY row_number() OVER (PARTITION BY job_id, session_id ORDER BY created_us DESC, row_no DESC) = 1)
+SELECT job_id, session_id, 'session' AS kind, to_json({{'session_id': session_id, 'initiator_ip': initiator_ip, 'responder_ip': responder_ip, 'risk_score': risk_score, 'overall_severity': overall_severity,
+ 'triggered_rules': CASE WHEN triggered_rules = '' THEN CAST([] AS VARCHAR[]) ELSE string_split(triggered_rules, ',') END}})::VARCHAR AS document FROM st
+UNION ALL SELECT job_id, session_id, 'anomaly' AS kind, to_json({{'session_id': session_id, 'anomaly_id': anomaly_id, 'anomaly_type': anomaly_type, 'severity': severity, 'description': description, 't_us': t_us}})::VARCHAR AS document
+FROM ev SEMI JOIN st USING (job_id, session_id)""",
 )
 
 

@@ -10,29 +10,20 @@ from pyspark.sql import functions as F
 from culvert.operators.flows import NO_ESP
 from culvert.plans.skew import attach
 
-PART_ROWS = 1000
 CEF_SEVERITY = {"CRITICAL": 10, "HIGH": 8, "MEDIUM": 5, "LOW": 3, "SAFE": 0}  # fixed values
 
 
 def session_documents(stored: DataFrame, events: DataFrame, fields: Sequence[Column], keys: Sequence[str] = ("job_id", "session_id")) -> DataFrame:
-    """One JSON document per stored session with its ``anomalies`` array (empty when there are none).
+    """JSON documents: one per stored session, and one per anomaly of it, told apart by ``kind``.
 
-    ``stored`` has one row per key. A session with more than ``PART_ROWS`` anomalies is written as
-    several documents with increasing ``part``, so no array grows with the data.
+    ``stored`` has one row per key. Every anomaly is a document of its own, whatever their number.
     """
     keys = list(keys)
-    counts = events.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    parts = F.ceil(F.col("_n") / PART_ROWS).cast("bigint")
-    bucket = F.pmod(F.conv(F.substring("anomaly_id", 1, 8), 16, 10).cast("bigint"), parts)
-    entry = F.struct("anomaly_id", "anomaly_type", "severity", "description", "t_us")
-    grouped = (
-        attach(events, counts, keys, "_n", "inner").withColumn("part", bucket)
-        .groupBy(*keys, "part").agg(F.array_sort(F.collect_list(entry)).alias("anomalies"))
-    )
-    joined = stored.join(grouped, keys, "left")
-    empty = F.array().cast("array<struct<anomaly_id:string,anomaly_type:string,severity:string,description:string,t_us:bigint>>")
-    doc = F.struct(*fields, F.coalesce("anomalies", empty).alias("anomalies"))
-    return joined.select(*keys, F.coalesce("part", F.lit(0)).alias("part"), F.to_json(doc, {"ignoreNullFields": "false"}).alias("document"))
+    as_text = {"ignoreNullFields": "false"}
+    session = stored.select(*keys, F.lit("session").alias("kind"), F.to_json(F.struct(*fields), as_text).alias("document"))
+    entry = F.struct("session_id", "anomaly_id", "anomaly_type", "severity", "description", "t_us")
+    own = events.join(stored.select(*keys), keys, "left_semi")
+    return session.unionByName(own.select(*keys, F.lit("anomaly").alias("kind"), F.to_json(entry, as_text).alias("document")))
 
 
 def write_documents(documents: DataFrame, path: str) -> None:

@@ -6,6 +6,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
+from culvert.functions import numeric
 from culvert.functions.ids import uuid5
 from culvert.functions.net import is_public
 from culvert.operators import associations, corpus, flows, gateway, ledger, rules
@@ -114,8 +115,9 @@ def test_ids_and_addresses(spark):
     names = ["a|b", "é", ""]
     got = spark.createDataFrame([(n,) for n in names], "n string").select("n", uuid5(F.col("n")).alias("u")).collect()
     assert all(r["u"] == str(uuid.uuid5(uuid.NAMESPACE_OID, r["n"])) for r in got)
-    public = {"8.8.8.8", "100.64.0.1", "2a00:1450::5", "172.32.0.1"}
+    public = {"8.8.8.8", "100.64.0.1", "2a00:1450::5", "172.32.0.1", "192.0.0.9", "::ffff:8.8.8.8", "::ffff:808:808", "2001:3::1", "2001:4:112::9", "::2"}
     other = {"10.1.2.3", "172.16.0.1", "x", "", "1.2.3", "fd00::1", "::1", "2001:db8::2", "300.1.1.1", "1:2:3"}
+    other |= {"192.0.0.8", "100::1", "64:ff9b:1::1", "2001:5::1", "2002::1", "::", "::ffff:10.0.0.1", "fe80::1", "::ffff:300.1.1.1"}
     df = spark.createDataFrame([(a,) for a in public | other], "a string").filter(is_public(F.col("a")))
     assert {r["a"] for r in df.collect()} == public
 
@@ -264,6 +266,10 @@ def test_store_replaces_by_job(spark, tmp_path):
     store.save_job(root, "j2", {"sessions": spark.createDataFrame([("j2", "z", 9)], one.schema)})
     rows = sorted((r["job_id"], r["session_id"], r["n"]) for r in store.read_table(spark, root, "sessions").collect())
     assert rows == [("j1", "a", 2), ("j1", "b", 1), ("j2", "z", 9)]
+    for job in ("007", "1e3", "a/b=c%20"):
+        store.save_job(root, job, {"sessions": spark.createDataFrame([(job, "s", 1)], one.schema)})
+        assert store.read_table(spark, root, "sessions").filter(F.col("job_id") == job).count() == 1
+    assert all(store.delete_job(spark, root, job, ["sessions"]) for job in ("007", "1e3", "a/b=c%20"))
     store.save_job(root, "j1", {"sessions": one.limit(0)})
     assert {r["job_id"] for r in store.read_table(spark, root, "sessions").collect()} == {"j2"}
     assert store.delete_job(spark, root, "j2", ["sessions"]) and not store.delete_job(spark, root, "j2", ["sessions"])
@@ -287,6 +293,20 @@ def test_audit_appends_and_detects(spark):
     assert [r["seq"] for r in ledger.chain_breaks(edited, width=2).collect()] == [1]
 
 
+def test_first_record_is_the_first_of_the_first_text(spark):
+    rows = [("b.txt", 0, "tunnel"), ("a.txt", 0, "transport"), ("a.txt", 1, "tunnel")]
+    kinds = ", ".join(f"{f} {'boolean' if f == 'anti_replay' else 'string'}" for f in gateway.VALUE_FIELDS if f != "mode")
+    df = spark.createDataFrame([(*r, "k", "conf", *[None] * (len(gateway.VALUE_FIELDS) - 1)) for r in rows], f"path string, rec_ix bigint, mode string, k string, source string, {kinds}")
+    for parts in (1, 3):
+        assert gateway.record_facts(df.repartition(parts), F.col("k")).first()["mode"]["value"] == "transport"
+
+
+def test_moments_do_not_cancel(spark):
+    base = 10**9
+    row = spark.range(1_000).select((F.col("id") % 2 + base).alias("x")).agg(F.count("*").alias("n"), F.sum("x").alias("t"), F.sum(F.col("x").cast("decimal(38,0)") * F.col("x")).alias("s"))
+    assert row.select(numeric.pop_var(F.col("n"), F.col("t"), F.col("s")).alias("v")).first()["v"] == 0.25
+
+
 def test_stream_equals_batch(spark, tmp_path):
     source = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     source.repartition(3).write.parquet(str(tmp_path / "in"))
