@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from culvert.llm.common import added, append, arrow_map, table
 
 MODEL = "byte_bpe_50k.json"
-MEMO_PIECES = 500_000
+MEMO_PIECES = 300_000
 #: characters whose pieces are held at a time, and cells of the trees that stand side by side
 CHUNK_CHARS, CELLS = 1 << 20, 1 << 20
 #: longer pieces are merged one by one
@@ -213,7 +213,10 @@ def _encoded(batches: Iterator[pa.RecordBatch], text_at: int, model: str, keep_i
             text_sha.append(hashlib.sha256(decode(vocab, ids).encode()).hexdigest())
             if keep_ids:
                 kept.append(ids)
-        more = {"token_ids": pa.array([k.tolist() for k in kept], pa.list_(pa.int32()))} if keep_ids else {}
+        more = {}
+        if keep_ids:
+            flat = np.concatenate([np.empty(0, "<u4"), *kept]).astype(np.int32)
+            more["token_ids"] = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *count]), pa.int32()), pa.array(flat, pa.int32()))
         yield append(batch, n_tokens=pa.array(count, pa.int64()), ids_sha256=pa.array(ids_sha, pa.string()), decoded_sha256=pa.array(text_sha, pa.string()), **more)
 
 
