@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 # Protocol numbers, ports and header sizes.
 ESP, AH, UDP = 50, 51, 17
+FRAGMENT = 44
+EXTENSIONS = (0, 43, FRAGMENT, 60)
 IKE_PORT, NAT_PORT = 500, 4500
 IKE_HEADER = 28
 V1, V2 = 0x10, 0x20
@@ -78,6 +80,24 @@ def step(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
+def behind_extensions(proto: Column, body: Column) -> Column:
+    """(proto, at, fragment) of what an IPv6 packet carries behind its extension headers, however many there are.
+
+    Every such header is a multiple of 8 bytes, so the body's length bounds the steps.
+    """
+    steps = F.when(proto.isin(*EXTENSIONS), F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(F.length(body) / 8).cast("int")))).otherwise(F.array().cast("array<int>"))
+
+    def over(s: Column, _: Column) -> Column:
+        kind, at = s["proto"], s["at"]
+        following, words = number(body, at, 1).cast("int"), number(body, at + 1, 1)
+        size = F.when(kind == FRAGMENT, 8).otherwise((words + 1) * 8).cast("int")
+        offset = F.when(kind == FRAGMENT, F.shiftright(number(body, at + 2, 2), 3)).otherwise(0).cast("int")
+        whole = kind.isin(*EXTENSIONS) & (s["fragment"] == 0) & size.isNotNull() & offset.isNotNull() & (F.length(body) >= at + size)
+        return F.when(whole, F.struct(following.alias("proto"), (at + size).alias("at"), offset.alias("fragment"))).otherwise(s)
+
+    return F.aggregate(steps, F.struct(proto.cast("int").alias("proto"), F.lit(0).alias("at"), F.lit(0).alias("fragment")), over)
+
+
 def decode_headers(raw: DataFrame) -> DataFrame:
     """Addresses, transport protocol and transport body of each packet; non-IP packets drop out."""
     data, ip = F.col("data"), F.col("_ip")
@@ -99,6 +119,12 @@ def decode_headers(raw: DataFrame) -> DataFrame:
         fragment=F.when(v4, number(data, ip + 6, 2).bitwiseAND(0x1FFF)).otherwise(0),
         body=F.when(v4, body4).otherwise(body6),
     )
+    df = step(df, _x=F.when(F.col("ip_version") == "IPv6", behind_extensions(F.col("proto"), F.col("body"))))
+    late = F.col("_x.at") > 0
+    df = df.withColumns({
+        "body": F.when(late, rest(F.col("body"), F.col("_x.at"))).otherwise(F.col("body")),
+        "proto": F.coalesce("_x.proto", "proto"), "fragment": F.coalesce("_x.fragment", "fragment"),
+    })
     shown = {n: F.when(F.col("ip_version") == "IPv4", F.col(c)).otherwise(ipv6_text(F.col(c))) for n, c in (("src", "_s"), ("dst", "_d"))}
     return step(df, **shown).select("capture_id", "frame", "t_us", "size", "ip_version", "proto", "src", "dst", "fragment", "body")
 

@@ -101,6 +101,17 @@ def test_packet_classes(spark, tmp_path):
     assert [(r["udp_port"], r["init_spi"]) for r in only] == [(4500, f"{0x55:016x}")]
 
 
+def test_ipv6_extension_headers(spark, tmp_path):
+    a, b = "2001:db8::1", "2001:db8::2"
+    msg = w.udp(500, 500, w.ike(0x77, 0, 34, 8, 0, [(33, w.sa(STRONG))]))
+    hop = lambda following: w.struct.pack(">BBHI", following, 0, 0, 0)
+    part = lambda following, offset: w.struct.pack(">BBHI", following, 0, offset << 3, 1)
+    bodies = [(17, msg), (0, hop(17) + msg), (0, hop(60) + w.struct.pack(">BB", 17, 1) + b"\0" * 14 + msg), (44, part(17, 0) + msg), (44, part(17, 5) + msg), (0, hop(50) + w.struct.pack(">II", 9, 1)), (0, b"\x11")]
+    packets, messages = load(spark, tmp_path, w.pcap([w.ether(w.ip(a, b, proto, body)) for proto, body in bodies]))
+    assert sorted(r["frame"] for r in messages.collect()) == [1, 2, 3, 4]
+    assert [(r["frame"], r["spi"]) for r in packets.collect()] == [(6, 9)]
+
+
 def params(spark, tmp_path, msgs, name):
     content = w.pcap([w.ether(w.ip(s, d, 17, w.udp(500, 500, m))) for s, d, m in msgs])
     _, messages = load(spark, tmp_path, content, name)
