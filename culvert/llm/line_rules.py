@@ -23,7 +23,7 @@ from culvert.session import materialise
 #: a line is above the limit in more than so many documents of a host, and in more than this share of them
 LINE_DOCS, LINE_SHARE = 20, 0.02
 #: a document is depleted when fewer words, or no more than this share of its words, are left
-LEFT_WORDS, LEFT_SHARE = 10, 0.5
+LEFT_WORDS, LEFT_SHARE = 10, 0.3
 MIN_WORDS, REPEAT_PERCENT, REPEAT_WINDOW = 10, 20, 5
 SYMBOLS = b"#*$%&|<>"
 DIGITS = bytes.maketrans(b"0123456789", b"0000000000")
