@@ -16,7 +16,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 HEADLINE = (
     "flow_features_by_class", "flow_features_by_spi", "sa_groups", "packet_owners", "session_parameters",
     "retransmit_interval", "risk_assessment", "findings", "compliance", "exposure_signals", "all_anomalies",
-    "gateway_reconcile", "fleet_summary", "job_diff", "analysis_digests", "cef_lines",
+    "gateway_reconcile", "fleet_summary", "job_diff", "analysis_sessions", "analysis_digests", "cef_lines",
 )
 
 
