@@ -30,7 +30,7 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 PACK_BYTES = 8 << 20
 #: one hash range holds the windows of about this many bytes of text
 RANGE_BYTES = 16 << 20
-PACKED = "part long, hashes binary, starts binary, ids array<long>, uids array<long>, bases array<int>"
+PACKED = "part long, hashes binary, starts binary, ids binary, uids binary, bases binary"
 FOUND = "slot long, ids array<long>, uids array<long>, starts array<int>"
 MERGED = "id long, uid long, starts array<int>"
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -106,11 +106,11 @@ def _row(part: int, hashes: bytes, at: np.ndarray, ids: np.ndarray, uids: np.nda
     sizes[-1] = (at - bases[doc]).max() + 1
     own = np.concatenate(([0], np.cumsum(sizes)[:-1]))
     starts = (own[slot] + at - bases[doc]).astype(np.uint32)
-    return {"part": part, "hashes": hashes, "starts": planes(starts), "ids": ids[used], "uids": uids[used], "bases": own.astype(np.int32)}
+    return {"part": part, "hashes": hashes, "starts": planes(starts), "ids": planes(np.diff(ids[used], prepend=0)), "uids": uids[used].tobytes(), "bases": planes(np.diff(own.astype(np.uint32), prepend=np.uint32(0)))}
 
 
 def _packed(rows: list[dict]) -> pa.RecordBatch:
-    kinds = {"part": pa.int64(), "hashes": pa.binary(), "starts": pa.binary(), "ids": pa.list_(pa.int64()), "uids": pa.list_(pa.int64()), "bases": pa.list_(pa.int32())}
+    kinds = {"part": pa.int64(), "hashes": pa.binary(), "starts": pa.binary(), "ids": pa.binary(), "uids": pa.binary(), "bases": pa.binary()}
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in kinds.items()], names=list(kinds))
 
 
@@ -161,13 +161,13 @@ def _find(group: pa.Table, parts: int) -> pa.Table:
     slot, hashes, at, ids, uids, bases, offset = [], [], [], [], [], [], 0
     for r in group.to_pylist():
         starts = unplanes(r["starts"], np.uint32).astype(np.int64)
-        own = np.array(r["bases"], np.int64)
+        own = np.cumsum(unplanes(r["bases"], np.uint32), dtype=np.int64)
         doc = np.searchsorted(own, starts, "right") - 1
         slot.append(doc + offset)
         at.append(starts - own[doc])
         offset += len(own)
-        ids.append(np.array(r["ids"], np.int64))
-        uids.append(np.array(r["uids"], np.int64))
+        ids.append(np.cumsum(unplanes(r["ids"], np.int64)))
+        uids.append(np.frombuffer(r["uids"], np.int64))
         hashes.append(np.cumsum(unplanes(r["hashes"], np.uint64), dtype=np.uint64) if r["hashes"] else np.empty(0, np.uint64))
     slot, at, ids, uids, hashes = (np.concatenate(x) for x in (slot, at, ids, uids, hashes))
     if not len(hashes):  # occurrences that repeat inside a batch
