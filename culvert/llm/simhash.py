@@ -119,20 +119,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(least, "label").select("id", F.col("fps")[0].alias("fp"), "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = 2, prints: int = PRINTS) -> DataFrame:
-    """The documents without near duplicates: of each component the row with the smallest id stays.
-
-    One fingerprint within 3 bits finds about a third of the pairs that share 0.8 of their five-word shingles;
-    several independent ones within 2 bits each take no more room and find most. A null id is the last choice; among rows that share the id a hash of the text decides, and exact repeats of a
-    row leave one.
-    """
+def first_of_each(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Of the documents of each label (rows: id, uid, label) the one with the smallest id, with its own columns."""
     last, key, uid = F.lit(2**63 - 1), free_name(docs, "__key"), free_name(docs, "__uid")
-    chosen = labelled(docs, id_col, text_col, shingle, radius, prints).groupBy("label").agg(F.min(F.struct(F.coalesce("id", last).alias("id"), "uid")).alias("s"))
+    chosen = rows.groupBy("label").agg(F.min(F.struct(F.coalesce("id", last).alias("id"), "uid")).alias("s"))
     chosen = chosen.select(F.col("s.id").alias(key), F.col("s.uid").alias(uid))
     keyed = docs.withColumn(key, F.coalesce(F.col(id_col).cast("long"), last)).withColumn(uid, row_uid(id_col, text_col))
     return keyed.join(chosen, [key, uid], "left_semi").dropDuplicates([key, uid]).select(docs.columns)
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = 2, prints: int = PRINTS) -> DataFrame:
+    """The documents without those linked by fingerprints: of each component the row with the smallest id stays.
+
+    Near fingerprints are no proof of similar texts, and most similar texts have distant ones: ``near_copies`` is
+    what finds near copies. A null id is the last choice; among rows that share the id a hash of the text decides,
+    and exact repeats of a row leave one.
+    """
+    return first_of_each(docs, labelled(docs, id_col, text_col, shingle, radius, prints), id_col, text_col)
+
+
 def op8_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
