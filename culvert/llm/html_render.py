@@ -29,6 +29,7 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BLOCKS = CLOSES_P | frozenset("html body tr thead tbody tfoot caption option optgroup legend".split())
 SPACED = HEADINGS | frozenset("p ul ol dl dir menu table blockquote pre figure fieldset hr address".split())
 CELLS, SECTIONS = frozenset(("td", "th")), frozenset(("thead", "tbody", "tfoot"))
+PARTS = CELLS | SECTIONS | {"tr", "col", "colgroup"}
 #: a start tag ends open elements of the second set, looked for up to the nearest element of the third
 IMPLIED = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
@@ -312,29 +313,56 @@ def walk(node: Node) -> Iterator[Node]:
             yield from walk(child)
 
 
+def has_cells(node: Node) -> bool:
+    """Whether rows or cells of the table around stand in an element."""
+    left = [node]
+    while left:
+        for child in left.pop().children:
+            if not isinstance(child, str) and child.tag != "table":
+                if child.tag == "tr" or child.tag in CELLS or child.tag in SECTIONS:
+                    return True
+                left.append(child)
+    return False
+
+
 def table_lines(node: Node, rules: set[tuple[str, str]]) -> list[str]:
     """A table as lines: its caption, then rows with their cells in columns."""
-    rows, captions = {"thead": [], "": [], "tfoot": []}, []
+    rows, stray = {"thead": [], "": [], "tfoot": []}, []
 
-    def collect(part: Node, group: str) -> None:
+    def collect(part: Node, group: str, row: list[Node] | None) -> None:
         for child in part.children:
-            if isinstance(child, str) or is_hidden(child, rules):
+            if isinstance(child, str):
+                stray.append(child)
+                continue
+            if is_hidden(child, rules):
                 continue
-            if child.tag == "tr":
-                rows[group].append([c for c in child.children if not isinstance(c, str) and c.tag in CELLS and not is_hidden(c, rules)])
+            if child.tag not in PARTS and not has_cells(child):
+                stray.append(child)
+                continue
+            stray.append(" ")  # parts of the table stand between the strings around them
+            if child.tag in CELLS:
+                if row is None:  # a cell without a row begins one
+                    rows[group].append(row := [])
+                row.append(child)
+            elif child.tag == "tr":
+                rows[group].append(own := [])
+                collect(child, group, own)
+                row = None
             elif child.tag in SECTIONS:
-                collect(child, "" if child.tag == "tbody" else child.tag)
-            elif child.tag not in ("col", "colgroup"):
-                captions.append(child)
+                collect(child, "" if child.tag == "tbody" else child.tag, None)
+                row = None
+            else:
+                collect(child, group, row)  # columns, a form or another wrapper around cells or rows
+            stray.append(" ")
 
-    collect(node, "")
+    collect(node, "", None)
     # what stands in a table outside its cells goes before it
     loose = Page(rules)
-    for child in node.children:
+    for child in stray:
         if isinstance(child, str):
             loose.text(child)
-    for child in captions:
-        loose.element(child, False)
+        else:
+            loose.element(child, False)
     lines, widths, laid, taken = loose.done(), {}, [], {}
     for cells in [*rows["thead"], *rows[""], *rows["tfoot"]]:
         at, row = 0, []
