@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from culvert.llm import bpe, conversations, html_render, kneser_ney, line_rules, mixing, order_minhash, simhash, substrings, suffix_tree, threshold_topk, token_counts
+from culvert.llm import bpe, collocations, conversations, html_render, kneser_ney, line_rules, mixing, order_minhash, simhash, substrings, suffix_tree, threshold_topk, token_counts
 
 QUERIES = {
     "op1_source_mixing": mixing.op1_source_mixing,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_quality_classifier": kneser_ney.op10_quality_classifier,
     "op11_order_minhash": order_minhash.op11_order_minhash,
     "op12_conversation_repair": conversations.op12_conversation_repair,
+    "op13_phrase_collocations": collocations.op13_phrase_collocations,
 }
 
 ORACLE = {
