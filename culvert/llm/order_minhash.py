@@ -103,7 +103,7 @@ def fingerprint(text: Column) -> Column:
 
 
 def _in_order(groups: DataFrame) -> DataFrame:
-    """key, hash, n, times and (next_key, next_hash) of the next text by descending id, round from the last to the first.
+    """key, hash, absent, n, times and (next_key, next_hash) of the next text by descending id, round from the last to the first.
 
     Ranges of a sort are read each by itself; the last text of a range takes the first one of the next range from a table with
     a row for each range.
@@ -116,7 +116,7 @@ def _in_order(groups: DataFrame) -> DataFrame:
     ring = firsts.groupBy().agg(F.sort_array(F.collect_list(F.struct("part", F.struct("f.key", "f.hash").alias("f")))).alias("all"))
     after = ring.select(F.posexplode("all").alias("at", "x"), "all").select(F.col("x.part").alias("part"), F.get("all", (F.col("at") + 1) % F.size("all"))["f"].alias("across"))
     joined = inner.join(F.broadcast(after), "part").withColumn("next", F.coalesce("next", "across"))
-    return joined.select("key", "hash", "n", "times", F.col("next.key").alias("next_key"), F.col("next.hash").alias("next_hash"))
+    return joined.select("key", "hash", "absent", "n", "times", F.col("next.key").alias("next_key"), F.col("next.hash").alias("next_hash"))
 
 
 def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_edited: bool = False) -> DataFrame:
@@ -135,7 +135,7 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = docs.select(key.alias("key"), F.xxhash64(text, absent).alias("hash"), absent.alias("absent"), text.alias("text"))
     groups = rows.select("key", "hash", "absent", F.length("text").alias("n")).groupBy("key", "absent", "hash", "n").agg(F.count("*").alias("times"))
     chain = materialise(_in_order(groups), "text-chain")
-    texts = rows.groupBy("key", "hash").agg(F.first("text").alias("text"), F.first("absent").alias("absent"))
+    texts = rows.groupBy("key", "hash").agg(F.first("text").alias("text"))  # the same exchange serves both joins
     # the beginning of each text goes to the one before it
     before = chain.select(F.col("next_key").alias("key"), F.col("next_hash").alias("hash"), F.col("key").alias("k"), F.col("hash").alias("h"), F.floor(F.col("n") / 3).cast("int").alias("third"))
     patches = texts.join(before, ["key", "hash"]).select(F.col("k").alias("key"), F.col("h").alias("hash"), F.left("text", F.col("third")).alias("patch"))
