@@ -12,7 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
-DOMAINS = ("flows", "associations", "parameters", "rules", "anomalies", "gateway", "fleet", "ledger", "exports", "corpus", "analysis", "learn", "live")
+DOMAINS = ("flows", "associations", "parameters", "rules", "anomalies", "gateway", "fleet", "ledger", "exports", "corpus", "analysis", "learn", "live", "decode")
 
 
 def add(name: str, query: Query, sql: str | None = None) -> None:
