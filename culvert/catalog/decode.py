@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from culvert.catalog import add
 from culvert.catalog.associations import IKE
 from culvert.plans import standins as S
-from culvert.plans.wire import with_frames, with_messages
-from culvert.sources import headers, ike
+from culvert.plans.wire import with_frames, with_messages, write_captures
+from culvert.session import shared_dir
+from culvert.sources import headers, ike, splits
 
 V2 = "version = 'IKEv2'"
 
@@ -57,3 +60,19 @@ add(
     f"""WITH {S.duck_cte('esp')} SELECT capture_id, frame, t_us, size, src, dst, proto, spi, CASE WHEN spi IS NOT NULL THEN seq END AS seq
     FROM esp WHERE proto IN (50, 51)""",
 )
+
+
+def captured_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packet stand-in written as capture files, scanned in byte ranges and decoded from the link layer up."""
+    path = f"{shared_dir(spark, 'captures')}-{uuid.uuid4().hex}"
+    write_captures(with_frames(S.esp_packets(spark, sf_dir)), path)
+    packets, _ = headers.split_packets(headers.decode_headers(splits.read_captures(spark, path)))
+    return packets.drop("capture_id", "frame")
+
+
+add(
+    "captured_packets",
+    captured_packets,
+    f"""WITH {S.duck_cte('esp')} SELECT t_us, size, src, dst, proto, spi, CASE WHEN spi IS NOT NULL THEN seq END AS seq
+    FROM esp WHERE proto IN (50, 51)""",
+)

@@ -2,33 +2,27 @@
 
 Python only cuts a file into records (frame, time, link type, bytes); everything above that, link
 layer, IP, UDP, SPI and key-exchange header, is decoded with Column expressions in
-``sources.headers``. Records are length-prefixed, so a file cannot be split: one task per file.
+``sources.headers``.
 
-``read_captures`` reads through Spark's binaryFile source (any Hadoop file system, files up to the
-cap). ``PcapSource`` (format ``pcap``) streams from a mounted path and has no size limit.
+``read_captures`` (of ``sources.splits``) scans byte ranges of a file side by side, on any path that Spark reads.
+``PcapSource`` (format ``pcap``) streams each file from a mounted path.
 """
 
 from __future__ import annotations
 
 import glob
-import io
 import os
 import struct
 from collections.abc import Iterator
 from typing import BinaryIO
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-RECORD_DDL = "capture_id string, frame bigint, t_us bigint, link int, data binary"
-BATCH = 10_000
+from culvert.sources.splits import CLASSIC_MAGIC, MAGICS, MOST, NG_MAGIC, RECORD_DDL, read_captures, ticks_per_second
 
-# First four bytes of capture files, as hex.
-CLASSIC_MAGIC = {"d4c3b2a1": ("<", 1), "a1b2c3d4": (">", 1), "4d3cb2a1": ("<", 1000), "a1b23c4d": (">", 1000)}
-NG_MAGIC = "0a0d0d0a"
-MAGICS = (*CLASSIC_MAGIC, NG_MAGIC)
+__all__ = ["PcapSource", "read_captures", "records", "rejected_captures", "sniff"]
 
 
 def records(stream: BinaryIO) -> Iterator[tuple[int, int, int, bytes]]:
@@ -45,7 +39,7 @@ def records(stream: BinaryIO) -> Iterator[tuple[int, int, int, bytes]]:
         frame = 0
         while len(rec := stream.read(16)) == 16:
             sec, sub, kept, _ = struct.unpack(order + "IIII", rec)
-            data = stream.read(kept)
+            data = stream.read(kept) if kept <= MOST else b""
             if len(data) < kept:
                 return
             frame += 1
@@ -67,10 +61,13 @@ def _ng_records(stream: BinaryIO) -> Iterator[tuple[int, int, int, bytes]]:
             kind = stream.read(4)
             continue
         size = struct.unpack(order + "I", raw_len)[0]
-        body = stream.read(size - 8)[: size - 12]
+        body = stream.read(size - 8) if 12 <= size <= MOST + 512 and size % 4 == 0 else b""
+        if len(body) < size - 8:
+            return
+        body = body[: size - 12]
         code = struct.unpack(order + "I", kind)[0]
         if code == 1 and len(body) >= 8:
-            links.append((struct.unpack(order + "H", body[:2])[0], _ticks_per_second(order, body[8:])))
+            links.append((struct.unpack(order + "H", body[:2])[0], ticks_per_second(order, body[8:])))
         elif code == 6 and len(body) >= 20:
             iface, hi, lo, kept, _ = struct.unpack(order + "IIIII", body[:20])
             link, ticks = links[iface] if iface < len(links) else (1, 1_000_000)
@@ -82,18 +79,6 @@ def _ng_records(stream: BinaryIO) -> Iterator[tuple[int, int, int, bytes]]:
         kind = stream.read(4)
 
 
-def _ticks_per_second(order: str, options: bytes) -> int:
-    while len(options) >= 4:
-        code, size = struct.unpack(order + "HH", options[:4])
-        if code == 9 and size:
-            unit = options[4]
-            return 2 ** (unit & 0x7F) if unit & 0x80 else 10**unit
-        if code == 0:
-            break
-        options = options[4 + size + (-size) % 4 :]
-    return 1_000_000
-
-
 def sniff(files: DataFrame, cap: int | None = None) -> DataFrame:
     """Add ``verdict`` to binaryFile rows: ``ok``, ``not a capture``, or ``too large`` for a given cap."""
     magic = F.lower(F.hex(F.substring("content", 1, 4)))
@@ -107,28 +92,6 @@ def rejected_captures(spark: SparkSession, path: str, cap: int | None = None) ->
     return sniff(files, cap).filter("verdict <> 'ok'").select("path", "length", "verdict")
 
 
-def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = ["capture_id", "frame", "t_us", "link", "data"]
-    for pdf in batches:
-        for capture, content in zip(pdf["capture_id"], pdf["content"]):
-            rows = []
-            for record in records(io.BytesIO(content)):
-                rows.append((capture, *record))
-                if len(rows) == BATCH:
-                    yield pd.DataFrame(rows, columns=columns)
-                    rows = []
-            if rows:
-                yield pd.DataFrame(rows, columns=columns)
-
-
-def read_captures(spark: SparkSession, path: str, cap: int | None = None) -> DataFrame:
-    """Raw packet records of every acceptable capture below ``path``; ``capture_id`` is the file name."""
-    files = spark.read.format("binaryFile").load(path)
-    files = sniff(files if cap is None else files.filter(F.col("length") <= cap), cap).filter("verdict = 'ok'")
-    named = files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("capture_id"), "content")
-    return named.mapInPandas(_cut, RECORD_DDL)
-
-
 class _File(InputPartition):
     def __init__(self, path: str):
         super().__init__(path)
