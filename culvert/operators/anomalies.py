@@ -19,6 +19,7 @@ from culvert.functions.ids import uuid5
 from culvert.functions.net import is_public
 from culvert.functions.ruletables import SEVERITIES
 from culvert.plans.skew import attach
+from culvert.session import materialise
 
 # Thresholds and name fragments of weak suites.
 PROBE_THRESHOLD = 3
@@ -177,8 +178,16 @@ def spi_collision(sessions: DataFrame, scope: Sequence[str] = SCOPE, frames: Dat
     )
 
 
+def narrow(sessions: DataFrame, scope: Sequence[str] = SCOPE) -> DataFrame:
+    """The columns that detectors read."""
+    read = F.struct(*(f"ike.{name}" for name in ("version", "aggressive_mode", "encryption", "integrity", "dh_group", "nat_traversal"))).alias("ike")
+    given = [c for c in ("evidence", "packet_refs") if c in sessions.columns]
+    return sessions.select(*scope, "session_id", "t_us", "initiator_ip", "responder_ip", read, *given)
+
+
 def detect(sessions: DataFrame, scope: Sequence[str] = SCOPE, frames: DataFrame | None = None) -> DataFrame:
-    """All detectors, one event table."""
+    """All detectors, one event table. What they read of the sessions is written once: facts, members and collisions share it."""
+    sessions = materialise(narrow(sessions, scope), "detector-sessions")
     return member_events(sessions, scope).unionByName(spi_collision(sessions, scope, frames))
 
 

@@ -17,8 +17,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: a key with at least one row in so many of the total is split; at most so many keys can hold that share
-SHARE = 10_000
+from culvert.session import materialise
+
+#: a key that holds more than one part in so many of a shuffle partition's even share is split
+PARTS = 4
+#: columns that are cheap to hash into a salt
+NARROW = ("bigint", "int", "smallint", "tinyint", "boolean", "double", "string")
 
 
 def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
@@ -70,19 +74,25 @@ def attach(
     keys: Sequence[str],
     weight: str,
     how: str = "left",
-    share: int = SHARE,
+    share: int | None = None,
 ) -> DataFrame:
     """Join one fact row per key to many rows; ``weight`` is the key's row count in ``facts``.
 
-    A key that holds at least 1 / ``share`` of all rows is spread over sub-keys in proportion, two for each such
-    share. There are at most ``share`` such keys, so broadcasting their list is bounded whatever the data size, and
+    The facts are written once, since their total, the hot keys and the join read them. A key that holds at least 1 / ``share``
+    of all rows (``PARTS`` times the shuffle partitions, if not given) is spread over sub-keys in proportion, two for each such
+    share. There are at most ``share`` such keys, so their broadcast list is bounded by the number of partitions, and
     the list is complete; every other key takes the ordinary shuffled join.
     """
-    keys = list(keys)
-    total = facts.agg(F.sum(weight).alias("_total")).scalar()
-    hot = facts.filter(F.col(weight) * share >= total).select(*keys, F.ceil(F.col(weight) * (2 * share) / total).cast("int").alias("_hot"))
+    keys, spark = list(keys), rows.sparkSession
+    share = share or PARTS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    facts = materialise(facts, "facts")
+    total = facts.agg(F.sum(weight)).first()[0] or 0
+    hot = facts.filter(F.col(weight).cast("decimal(38,0)") * share >= F.lit(total)).select(*keys, F.ceil(F.col(weight) * F.lit(2 * share) / F.lit(max(1, total))).cast("int").alias("_hot"))
+    if hot.isEmpty():
+        return rows.join(facts, keys, how)
+    narrow = [c for c, kind in rows.dtypes if kind in NARROW and c not in keys][:3]
     # the partition number spreads exact copies of one row, which any hash of the row would keep together
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns], F.spark_partition_id()), F.col("_hot")).cast("int")
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in narrow or rows.columns], F.spark_partition_id()), F.col("_hot")).cast("int")
     salted_rows = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.coalesce(salt, F.lit(0)))
     copies = F.sequence(F.lit(0), F.coalesce(F.col("_hot"), F.lit(1)) - 1)
     salted_facts = facts.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(copies))
