@@ -46,7 +46,8 @@ def list_leaders(packets: DataFrame, list_keys: Sequence[str]) -> DataFrame:
     return packets.groupBy(*list_keys).agg(F.min_by("src", "frame").alias("up_src"))
 
 
-def _with_margins(packets: DataFrame, keys: Sequence[str], slice_us: int, window_us: int) -> DataFrame:
+def with_margins(packets: DataFrame, keys: Sequence[str], slice_us: int = SLICE_US, window_us: int = BURST_WINDOW_US) -> DataFrame:
+    """Each packet in its own slice and, near a border, in the neighbouring one too."""
     own = slice_of(F.col("t_us"), slice_us)
     start = own * slice_us
     homes = F.array(
@@ -68,7 +69,11 @@ def packet_positions(
     """Each packet once, with its gap to the previous packet of the slice and its burst flags."""
     if slice_us < 2 * window_us:
         raise ValueError("a slice must span at least two burst windows")
-    rows = _with_margins(packets, keys, slice_us, window_us)
+    return positions(with_margins(packets, keys, slice_us, window_us), keys, window_us, min_packets)
+
+
+def positions(rows: DataFrame, keys: Sequence[str], window_us: int = BURST_WINDOW_US, min_packets: int = BURST_MIN_PACKETS) -> DataFrame:
+    """Positions in whole slices: ``rows`` come from ``with_margins``, all of a slice or none."""
     timed = Window.partitionBy(*keys, "_slice").orderBy("t_us", "frame")
     near = Window.partitionBy(*keys, "_slice").orderBy("t_us")
     t = F.col("t_us")
@@ -89,11 +94,10 @@ def packet_positions(
     )
 
 
-def _timing(packets: DataFrame, keys: Sequence[str], **burst: int) -> DataFrame:
-    """Additive facts per (flow, slice), then per flow; gaps across slices are added in between."""
-    rows = packet_positions(packets, keys, **burst)
+def slice_facts(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row of additive facts per (flow, slice) of packet positions."""
     gap, size, t = F.col("gap_us"), F.col("size"), F.col("t_us")
-    slices = rows.groupBy(*keys, "_slice").agg(
+    return rows.groupBy(*keys, "_slice").agg(
         F.count(F.lit(1)).alias("n"),
         F.min("frame").alias("first_frame"),
         F.sum(size).alias("bytes"),
@@ -111,6 +115,10 @@ def _timing(packets: DataFrame, keys: Sequence[str], **burst: int) -> DataFrame:
         F.sum(F.when(F.col("in_burst"), size)).alias("burst_bytes"),
         F.sum(F.when(F.col("in_burst"), size * size)).alias("burst_bytes2"),
     )
+
+
+def merge_slices(slices: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Facts per flow; gaps across slices are added in between."""
     across = Window.partitionBy(*keys).orderBy("_slice")
     jump = (F.col("t_min") - F.lag("t_max").over(across)).cast("decimal(18,0)")
     slices = slices.withColumn("_jump", F.when(F.col("_detached"), jump))
@@ -137,9 +145,20 @@ def _timing(packets: DataFrame, keys: Sequence[str], **burst: int) -> DataFrame:
     )
 
 
+def _timing(packets: DataFrame, keys: Sequence[str], **burst: int) -> DataFrame:
+    return merge_slices(slice_facts(packet_positions(packets, keys, **burst), keys), keys)
+
+
 def size_percentiles(packets: DataFrame, keys: Sequence[str]) -> DataFrame:
     """p10 and p90 with linear interpolation, over (flow, size) counts: at most 65 536 per flow."""
-    sized = packets.groupBy(*keys, "size").agg(F.count(F.lit(1)).alias("_c"))
+    return percentiles(size_counts(packets, keys), keys)
+
+
+def size_counts(packets: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return packets.groupBy(*keys, "size").agg(F.count(F.lit(1)).alias("_c"))
+
+
+def percentiles(sized: DataFrame, keys: Sequence[str]) -> DataFrame:
     return sized.groupBy(*keys).agg(
         F.percentile("size", 0.1, F.col("_c")).alias("p10"), F.percentile("size", 0.9, F.col("_c")).alias("p90")
     )
@@ -147,10 +166,17 @@ def size_percentiles(packets: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def direction_bytes(packets: DataFrame, keys: Sequence[str], list_keys: Sequence[str]) -> DataFrame:
     """Bytes up and down per flow, summed per source before the leader is looked up."""
-    by_src = packets.groupBy(*keys, "src").agg(F.sum("size").alias("_b"))
+    return split_bytes(source_bytes(packets, keys), list_leaders(packets, list_keys), keys, list_keys)
+
+
+def source_bytes(packets: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return packets.groupBy(*keys, "src").agg(F.sum("size").alias("_b"))
+
+
+def split_bytes(by_src: DataFrame, leaders: DataFrame, keys: Sequence[str], list_keys: Sequence[str]) -> DataFrame:
     up = F.col("src").eqNullSafe(F.col("up_src"))
     return (
-        by_src.join(list_leaders(packets, list_keys), list(list_keys))
+        by_src.join(leaders, list(list_keys))
         .groupBy(*keys)
         .agg(
             F.coalesce(F.sum(F.when(up, F.col("_b"))), F.lit(0)).alias("up_bytes"),
@@ -168,11 +194,12 @@ def flow_features(
     """
     keys = list(keys)
     list_keys = list(list_keys or keys[:1])
-    f = (
-        _timing(packets, keys, **burst)
-        .join(size_percentiles(packets, keys), keys)
-        .join(direction_bytes(packets, keys, list_keys), keys)
-    )
+    return features_of(_timing(packets, keys, **burst), size_percentiles(packets, keys), direction_bytes(packets, keys, list_keys), keys)
+
+
+def features_of(timing: DataFrame, sizes: DataFrame, directions: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The features of flows from their merged facts."""
+    f = timing.join(sizes, list(keys)).join(directions, list(keys))
     n = F.col("n")
     span = (F.col("t_max") - F.col("t_min")).cast("double")
     gaps, bursts = n - 1, F.col("bursts")

@@ -9,7 +9,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -34,6 +34,46 @@ def fresh(before: DataFrame, now: DataFrame, key: str = "anomaly_id") -> DataFra
     return now.join(before.select(key), key, "left_anti")
 
 
+def transitions(history: DataFrame, ticks: DataFrame, key: str, watch: Sequence[str] = (), carry: Sequence[str] = ()) -> DataFrame:
+    """What each tick changed: ``tick, <key>, removed``, the watched and the carried columns, null where removed.
+
+    ``history`` has one row per (tick, key), ``ticks`` every tick that ran; ticks are consecutive integers, as batch ids are. A
+    row is a change if the tick before lacks its key or has other watched values; a key that the next tick lacks is removed there.
+    A key meets its own ticks alone, in one shuffle for all ticks.
+    """
+    by_tick, shown = Window.partitionBy(key).orderBy("tick"), (*watch, *carry)
+    seen = history.select(
+        "tick", key, *shown,
+        F.lag(F.struct("tick", *watch)).over(by_tick).alias("_old"), F.lead("tick").over(by_tick).alias("_next"),
+    )
+    same = F.col("_old").eqNullSafe(F.struct((F.col("tick") - 1).alias("tick"), *watch))
+    gone = F.coalesce(F.col("_next") > F.col("tick") + 1, F.lit(True))
+    moves = F.filter(
+        F.array(
+            F.struct(F.when(~same, F.col("tick")).alias("tick"), F.lit(False).alias("removed"), *shown),
+            F.struct(F.when(gone, F.col("tick") + 1).alias("tick"), F.lit(True).alias("removed"), *[F.lit(None).cast(history.schema[c].dataType).alias(c) for c in shown]),
+        ),
+        lambda m: m["tick"].isNotNull(),
+    )
+    return seen.select(key, F.explode(moves).alias("_m")).select(key, "_m.*").join(ticks.select("tick"), "tick", "left_semi")
+
+
+def history_feed(
+    sessions: DataFrame, events: DataFrame, ticks: DataFrame, session_fields: Sequence[str] = FINGERPRINT, event_fields: Sequence[str] = ("severity",)
+) -> DataFrame:
+    """The change log of all ticks: ``change_feed`` of every tick against the one before it, from tables of snapshots."""
+
+    def rows(df: DataFrame, kind: str, key: str, fields: Sequence[str]) -> DataFrame:
+        name = F.when(F.col("removed"), f"{kind}_removed").otherwise(kind)
+        return df.select(name.alias("type"), F.col(key).alias("key"), F.when(~F.col("removed"), F.to_json(F.struct(*fields))).alias("body"), "tick")
+
+    changed = rows(transitions(sessions, ticks, "session_id", session_fields), "session", "session_id", session_fields)
+    raised = rows(transitions(events, ticks, "anomaly_id", (), event_fields), "anomaly", "anomaly_id", event_fields)
+    alive = ticks.select("tick").join(sessions.groupBy("tick").agg(F.count(F.lit(1)).alias("sessions")), "tick", "left").na.fill(0, ["sessions"])
+    status = alive.select(F.lit("live").alias("type"), F.lit("status").alias("key"), F.to_json(F.struct("sessions")).alias("body"), "tick")
+    return changed.unionByName(raised).unionByName(status)
+
+
 def change_feed(
     before: DataFrame, now: DataFrame, events_before: DataFrame, events_now: DataFrame, tick: int | Column,
     session_fields: Sequence[str] = FINGERPRINT, event_fields: Sequence[str] = ("severity",),

@@ -12,7 +12,7 @@ from culvert.functions.net import is_public
 from culvert.operators import associations, corpus, flows, gateway, ledger, rules
 from culvert.plans import skew, standins
 from culvert.sources import store
-from culvert.streaming import live
+from culvert.streaming import incremental, live
 
 
 def brute_bursts(times, sizes, w, k):
@@ -317,3 +317,60 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {tuple(r[c] for c in flows.FEATURES) for r in run.results(spark).collect()}
     want = {tuple(r[c] for c in flows.FEATURES) for r in flows.capture_vector(source.select(*cols)).collect()}
     assert got == want and run.packets_seen == source.count()
+
+
+def test_transitions_of_many_ticks(spark):
+    """Against a plain walk from tick to tick, with gaps, returns, unchanged and nulled values and an empty last tick."""
+    rows = [(1, "a", 5), (2, "a", 5), (3, "a", 6), (1, "b", 1), (3, "b", 1), (2, "c", None), (3, "c", None), (3, "d", None), (4, "d", 2)]
+    history = spark.createDataFrame(rows, "tick bigint, key string, v int")
+    ticks = spark.range(1, 6).select(F.col("id").alias("tick"))
+    got = {tuple(r) for r in live.transitions(history, ticks, "key", ("v",)).select("tick", "key", "removed", "v").collect()}
+    want, before = set(), {}
+    for t in range(1, 6):
+        now = {k: v for at, k, v in rows if at == t}
+        want |= {(t, k, False, v) for k, v in now.items() if k not in before or before[k] != v}
+        want |= {(t, k, True, None) for k in before if k not in now}
+        before = now
+    assert got == want
+    events = spark.createDataFrame([(1, "e", "LOW"), (3, "e", "LOW")], "tick bigint, anomaly_id string, severity string")
+    log = live.history_feed(history.withColumnRenamed("key", "session_id"), events, ticks, ("v",))
+    alive = {(r["type"], r["key"]): r["tick"] for r in live.current_state(log).collect()}
+    assert alive == {("live", "status"): 5} and log.filter("type = 'live'").count() == 5
+    assert live.transitions(history.limit(0), ticks, "key", ("v",)).isEmpty()
+
+
+def _features(df, keys):
+    return {tuple(r[c] for c in (*keys, *flows.FEATURES)) for r in df.collect()}
+
+
+def test_incremental_flows(spark, tmp_path):
+    """Late, bursty and null packets over more batches than an epoch holds; a batch that runs again changes nothing."""
+    rng = random.Random(7)
+    rows = [(rng.choice("aab"), rng.choice("xy"), rng.randrange(0, 40_000_000) if i % 3 else 5_000_000 + i * 997, rng.randrange(60, 1500), f"10.0.0.{rng.randrange(3)}", i) for i in range(3_000)]
+    rows += [(None, "x", 1, 60, "10.0.0.1", 3_000), ("a", "x", None, 60, "10.0.0.1", 3_001)]
+    df = spark.createDataFrame(rows, "cap string, cls string, t_us bigint, size bigint, src string, frame bigint")
+    run = incremental.LiveFlows(str(tmp_path / "run"), ["cap", "cls"], ["cap"], epoch=2, period_us=20_000_000)
+    for i in range(5):
+        run.on_batch(df.filter(F.col("frame") % 5 == i), i)
+    run.on_batch(df.filter(F.col("frame") % 5 == 4), 4)
+    run.on_batch(df.limit(0), 5)
+    whole = df.dropna(subset=["cap", "t_us"])
+    want = _features(flows.flow_features(whole, ["cap", "cls"], ["cap"]), ["cap", "cls"])
+    assert _features(run.results(spark), ["cap", "cls"]) == want and run.packets_seen == len(rows)
+    assert _features(run.changed(spark, 4), ["cap", "cls"]) <= want
+    with pytest.raises(ValueError):
+        run.on_batch(df.withColumn("period", F.lit(1)), 6)
+
+
+def test_a_tick_reads_its_own_slices(spark, tmp_path):
+    """In a stream that is in order, a tick uses its packets and those of the slice at its border, however many lie before."""
+    df = spark.range(4_000).select(F.lit("a").alias("cap"), (F.col("id") * 100_000).alias("t_us"), F.lit(100).cast("bigint").alias("size"), F.lit("s").alias("src"), F.col("id").alias("frame"))
+    df.repartitionByRange(8, "frame").write.parquet(str(tmp_path / "in"))
+    run = incremental.LiveFlows(str(tmp_path / "run"), ["cap"], epoch=3, period_us=50_000_000)
+    stream = live.packet_stream(spark, str(tmp_path / "in"), df.schema, files_per_tick=1)
+    run.start(stream, str(tmp_path / "cp"), available_now=True).awaitTermination()
+    ticks = run.ticks(spark).collect()
+    assert len(ticks) == 8 and sum(t["packets"] for t in ticks) == 4_000
+    if all(t["packets"] == 500 for t in ticks):
+        assert max(t["used"] for t in ticks) <= 500 + 4 * 100 and max(t["scanned"] for t in ticks) <= 500 + 3 * 500
+    assert _features(run.results(spark), ["cap"]) == _features(flows.capture_vector(df, "cap"), ["cap"])
