@@ -1,4 +1,4 @@
-"""Model and metric queries. Fits use fewer trees than the defaults to stay quick on small data."""
+"""Model and metric queries. Forests have their default sizes; ``model_selection`` alone boosts fewer rounds (``BOOST``)."""
 
 from __future__ import annotations
 
@@ -15,7 +15,7 @@ from culvert.session import materialise
 
 PREDS = S.duck_cte("preds")
 KEYS = ["capture_id", "peers", "flow_class"]
-SMALL = {"numTrees": 20, "maxDepth": 8}
+BOOST = {"maxIter": 5, "maxDepth": 3}  # one-versus-rest boosting is a sequence of jobs per round and class
 CLASSES = ["click", "error", "purchase", "signup", "view"]
 
 
@@ -117,45 +117,51 @@ SELECT label, CASE WHEN x < 0.70 THEN 'train' WHEN x < 0.85 THEN 'val' ELSE 'tes
 )
 
 
+def _fitted(s, d):
+    """Stored flows dealt into folds, and the model of each fold."""
+    table = materialise(O.stratified_folds(stored_flows(s, d), "label", KEYS), "folds")
+    return table, O.fit_folds(table, "label", "fold")
+
+
 def _predictions(s, d):
-    parts = O.stratified_split(stored_flows(s, d), "label", KEYS)
-    model = O.fit(parts.filter("part = 'train'"), "label", "rf", **SMALL)
-    return O.predict(parts.filter("part = 'test'"), model).select(*KEYS, "label", "traffic.*")
+    table, models = _fitted(s, d)
+    return O.out_of_fold(table, models, "fold").select(*KEYS, "label", "traffic.*")
 
 
 def _explanations(s, d):
-    parts = O.stratified_split(stored_flows(s, d), "label", KEYS)
-    model = O.fit(parts.filter("part = 'train'"), "label", "rf", **SMALL)
-    return O.explain(parts.filter("part = 'test'"), model, KEYS)
+    table, models = _fitted(s, d)
+    return O.explain_out_of_fold(table, models, "fold", KEYS)
 
 
 def _selection(s, d):
-    parts = O.stratified_split(stored_flows(s, d), "label", KEYS)
-    model, f1 = O.select_model(parts.filter("part = 'train'"), parts.filter("part = 'val'"), "label", rf=SMALL, gbt={"maxIter": 5, "maxDepth": 3})
+    parts = materialise(O.stratified_split(stored_flows(s, d), "label", KEYS), "parts")
+    model, f1 = O.select_model(parts.filter("part = 'train'"), parts.filter("part = 'val'"), "label", gbt=BOOST)
     rows = [(model.algo, model.version, float(f1), n, w) for n, w in (model.importances or {"none": 0.0}).items()]
     return s.createDataFrame(rows, "algo string, model_version string, selection_macro_f1 double, feature string, importance double")
 
 
 def _folds(s, d, features=FL.FEATURES):
-    pred = O.cross_validate(O.stratified_folds(stored_flows(s, d), "label", KEYS), "label", "fold", features, **SMALL)
+    table = materialise(O.stratified_folds(stored_flows(s, d), "label", KEYS), "folds")
+    pred = O.cross_validate(table, "label", "fold", features)
     return O.overall_metrics(pred)
 
 
 def _held_out(s, d):
     table = stored_flows(s, d).withColumn("grp", F.col("capture_id").cast("string"))
-    return O.confusion_counts(O.cross_validate(table, "label", "grp", **SMALL))
+    return O.confusion_counts(O.cross_validate(table, "label", "grp"))
 
 
 def _group_folds(s, d):
-    table = O.group_folds(stored_flows(s, d).withColumn("cfg", F.concat_ws("_", (F.hash("peers") % 12).cast("string"), F.col("capture_id").cast("string"))), "cfg")
-    return O.overall_metrics(O.cross_validate(table, "label", "fold", **SMALL))
+    cfg = F.concat_ws("_", (F.hash("peers") % 12).cast("string"), F.col("capture_id").cast("string"))
+    table = materialise(O.group_folds(stored_flows(s, d).withColumn("cfg", cfg), "cfg"), "folds")
+    return O.overall_metrics(O.cross_validate(table, "label", "fold"))
 
 
 def _protocol(s, d):
     m = S.ike_messages(s, d)
     known = P.parameters(m).filter("encryption <> 'unknown' AND dh_group <> 'unknown'").select(*P.SA, "encryption", "dh_group")
     table = materialise(P.structural_features(m).join(known, P.SA), "structure")
-    models = O.fit_protocol(table, numTrees=5, maxDepth=5)
+    models = O.fit_protocol(table)
     return O.predict_protocol(table, models).select(*P.SA, "guess_encryption", "guess_dh_group", "guess_confidence")
 
 

@@ -8,8 +8,11 @@ rows is not sorted by one task.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, StringIndexerModel, VectorAssembler
@@ -29,6 +32,7 @@ PROTOCOL_FOREST = {"numTrees": 50, "maxDepth": 9}
 ABSTAIN_BELOW, MODE_MIN, PROTOCOL_MIN = 0.6, 0.7, 0.6
 VOLUME_FEATURES = ("pkt_total", "rate_pps", "flow_duration_sec")
 MODE_FEATURES = (*FEATURES, "is_ipv6", "is_aead", "block_8")
+FOLDS_AT_ONCE = 5
 HASH_SPACE, HASH_SLICE = 1 << 30, 1 << 15
 
 
@@ -283,23 +287,50 @@ def confusion_pairs(pred: DataFrame) -> DataFrame:
     return confusion_counts(pred).filter(F.col("label") != F.col("prediction")).orderBy(F.desc("n"), "label", "prediction")
 
 
+def fit_folds(df: DataFrame, label: str, fold: str, features: Sequence[str] = FEATURES, parallel: int = FOLDS_AT_ONCE, **settings) -> list[tuple[object, Model]]:
+    """One forest per value of ``fold``, fit on all other rows; ``parallel`` fits run at the same time.
+
+    ``df`` should be a stored table, since every fit reads it. A fold that leaves fewer than two classes to learn from is
+    left out. With a fair scheduler each fit gets a pool of its own, so that no fit waits for another's last tasks.
+    """
+    table = df.filter(F.col(label).isNotNull())
+    seen: dict[object, set] = {}
+    for value, name in table.select(fold, label).distinct().collect():  # folds or groups x classes: a fixed grid
+        seen.setdefault(value, set()).add(name)
+    rest = {v: set().union(*[names for other, names in seen.items() if other != v]) for v in seen}
+    values = sorted((v for v, names in rest.items() if v is not None and len(names) >= 2))
+
+    def one(value):
+        df.sparkSession.sparkContext.setLocalProperty("spark.scheduler.pool", f"fold-{value}")
+        return value, fit(table.filter(~F.col(fold).eqNullSafe(value)), label, "rf", features, **settings)
+
+    with ThreadPoolExecutor(max(1, parallel)) as pool:
+        return list(pool.map(inheritable_thread_target(df.sparkSession)(one), values))
+
+
+def out_of_fold(df: DataFrame, models: Sequence[tuple[object, Model]], fold: str) -> DataFrame:
+    """Every row of a fitted fold with the ``traffic`` of the one model that did not learn from it."""
+    parts = [predict(df.filter(F.col(fold) == value), model) for value, model in models]
+    if not parts:
+        raise ValueError("no fold leaves two classes to learn from")
+    return reduce(DataFrame.unionByName, parts)
+
+
+def explain_out_of_fold(df: DataFrame, models: Sequence[tuple[object, Model]], fold: str, key: Sequence[str], top: int = 3) -> DataFrame:
+    """``explain`` of every row by the model of its own fold."""
+    if not models:
+        raise ValueError("no fold leaves two classes to learn from")
+    return reduce(DataFrame.unionByName, [explain(df.filter(F.col(fold) == value), model, key, top) for value, model in models])
+
+
 def cross_validate(df: DataFrame, label: str, fold: str, features: Sequence[str] = FEATURES, **settings) -> DataFrame:
     """Pooled (label, prediction, fold) rows: each fold predicted by a model fit on the others.
 
     ``fold`` may be a fold number or a group to hold out whole; a fold that leaves fewer than two
-    classes to learn from is skipped. The loop is over folds, never over rows.
+    classes to learn from is skipped.
     """
-    out = None
-    for value in sorted(r[0] for r in df.select(fold).distinct().collect()):
-        train, test = df.filter(F.col(fold) != value), df.filter(F.col(fold) == value)
-        if train.select(label).distinct().limit(2).count() < 2:
-            continue
-        model = fit(train, label, "rf", features, **settings)
-        pred = predict(test, model).select(F.col(label).alias("label"), F.col("traffic.predicted_type").alias("prediction"), F.col(fold).cast("string").alias("held_out"))
-        out = pred if out is None else out.unionByName(pred)
-    if out is None:
-        raise ValueError("no fold leaves two classes to learn from")
-    return out
+    pred = out_of_fold(df, fit_folds(df, label, fold, features, **settings), fold)
+    return pred.select(F.col(label).alias("label"), F.col("traffic.predicted_type").alias("prediction"), F.col(fold).cast("string").alias("held_out"))
 
 
 def without_volume(features: Sequence[str] = FEATURES) -> tuple[str, ...]:

@@ -1,6 +1,7 @@
 """Operators against brute force and hand-computed rows."""
 
 import random
+import threading
 import uuid
 
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from culvert.functions import numeric
 from culvert.functions.ids import uuid5
 from culvert.functions.net import is_public
-from culvert.operators import associations, corpus, flows, gateway, ledger, rules
+from culvert.operators import associations, corpus, flows, gateway, learn, ledger, rules
 from culvert.plans import skew, standins
 from culvert.sources import store
 from culvert.streaming import incremental, live
@@ -374,3 +375,33 @@ def test_a_tick_reads_its_own_slices(spark, tmp_path):
     if all(t["packets"] == 500 for t in ticks):
         assert max(t["used"] for t in ticks) <= 500 + 4 * 100 and max(t["scanned"] for t in ticks) <= 500 + 3 * 500
     assert _features(run.results(spark), ["cap"]) == _features(flows.capture_vector(df, "cap"), ["cap"])
+
+
+def test_folds_are_fitted_together_and_predict_every_row(spark, monkeypatch, tmp_path):
+    """Each row once, by the model of its own fold, which has not learned from it; three fits wait for each other."""
+    rng = random.Random(3)
+    rows = [(i, "up" if i % 2 else "down", float(i % 2) * 3 + rng.random(), rng.random()) for i in range(120)]
+    df = spark.createDataFrame(rows, "id bigint, label string, x double, y double")
+    path = str(tmp_path / "folds")
+    learn.stratified_folds(df, "label", ["id"], 3).write.parquet(path)
+    table, met, plain = spark.read.parquet(path), threading.Barrier(3, timeout=120), learn.fit
+
+    def fit(train, *args, **kw):
+        met.wait()
+        return plain(train, *args, **kw)
+
+    monkeypatch.setattr(learn, "fit", fit)
+    models = learn.fit_folds(table, "label", "fold", ("x", "y"), numTrees=5, maxDepth=3)
+    out = learn.out_of_fold(table, models, "fold").select("id", "fold", "label", "traffic.predicted_type").collect()
+    assert sorted(r["id"] for r in out) == list(range(120)) and [v for v, _ in models] == [0, 1, 2]
+    assert sum(r["label"] == r["predicted_type"] for r in out) >= 115
+    for value, model in models:
+        mean = table.filter(F.col("fold") != value).agg(F.avg("x")).first()[0]
+        assert abs(model.means["x"] - mean) < 1e-4
+    why = learn.explain_out_of_fold(table, models, "fold", ["id"], top=1)
+    # the mean of x lies with one of the classes, so putting it in place of x costs the other class's rows their label
+    assert 55 <= why.filter("feature = 'x'").count() <= 65 and why.groupBy("id").count().filter("count > 1").isEmpty()
+    monkeypatch.setattr(learn, "fit", plain)
+    assert learn.fit_folds(table.filter("fold = 0"), "label", "fold", ("x", "y")) == []
+    with pytest.raises(ValueError):
+        learn.out_of_fold(table, [], "fold")
