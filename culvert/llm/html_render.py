@@ -21,7 +21,8 @@ from culvert.llm.common import added, append, arrow_map, table
 VOID = frozenset("area base br col embed frame hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes noscript textarea title".split())
 HEAD = frozenset("base basefont bgsound link meta noframes script style template title noscript".split())
-UNSEEN = frozenset("head script style template noscript noembed noframes iframe object audio video canvas datalist title svg math".split())
+UNSEEN = frozenset("head script style template noscript noembed noframes iframe object audio video canvas datalist title".split())
+UNSEEN_SVG = frozenset("desc defs metadata symbol clippath mask pattern marker lineargradient radialgradient".split())
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li dd dt main menu nav ol p pre section summary table ul".split()
 )
@@ -40,14 +41,18 @@ IMPLIED = {
 #: closing or implying never reaches out of these
 WALLS = frozenset("table td th caption html template".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+COMMENT = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*>?", re.S)
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+SPECIAL = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 SPACES = re.compile(r"[ \t\n\f\r]+")
-RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+CSS_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 SIMPLE = re.compile(r"([a-zA-Z][\w-]*)?([.#][\w-]+)?")
-HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
-#: elements deeper than this become siblings, as in browsers; columns wider than this are not padded
-MAX_DEPTH, MAX_PAD, MAX_SPAN = 200, 60, 1000
+DISPLAY = re.compile(r"(display|visibility)\s*:\s*([\w-]+)\s*(!\s*important)?", re.I)
+#: elements deeper than this become siblings, as in browsers; spans are at most what the HTML standard allows
+MAX_DEPTH, MAX_ACROSS, MAX_DOWN = 200, 1000, 65534
+#: a column is padded to its widest line if that adds at most so many times the table's own text, else to its lines of up to NARROW
+PADDING, NARROW = 16, 60
 
 
 class Node:
@@ -64,20 +69,55 @@ def attributes(text: str) -> dict[str, str]:
     return found
 
 
+class Tags:
+    """The tags, comments and declarations of a page.
+
+    A ``>`` in quotes does not end a tag, unless the quotes are never closed; then the first ``>`` does. A ``<`` behind which no ``>`` comes is
+    text. The page is read forward once: that a scan from a certain quote finds no end is remembered, not found out again.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.last, self.doomed = page, page.rfind(">"), set()
+
+    def following(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """The first one from ``at`` on: begin, end, "/" of an end tag, name (empty if it is no tag), attributes."""
+        page = self.page
+        while (at := page.find("<", at)) >= 0:
+            if (m := COMMENT.match(page, at)) is not None:
+                return at, m.end(), "", "", ""
+            if (m := NAME.match(page, at)) is not None and self.last >= m.end():
+                end = self.closed(m.end())
+                return at, end + 1, m[1], m[2], page[m.end() : end]
+            at += 1
+        return None
+
+    def closed(self, begin: int) -> int:
+        """Where the tag ends whose name ends at ``begin``."""
+        k, met = begin, []
+        while (found := SPECIAL.search(self.page, k)) is not None:
+            k = found.start()
+            if found[0] == ">":
+                return k
+            if k in self.doomed:
+                break
+            met.append(k)
+            if (k := self.page.find(found[0], k + 1) + 1) == 0:
+                break
+        self.doomed.update(met)
+        return self.page.find(">", begin)
+
+
 class Builder:
     """The tree of a page, and its style sheets."""
 
     def __init__(self, page: str):
         self.root = Node("html", {})
         self.stack, self.styles = [self.root], []
-        at = 0
-        while True:
-            m = TOKEN.search(page, at)
-            self.text(page[at : m.start() if m else len(page)])
-            if m is None:
-                break
-            at = m.end()
-            closing, tag, rest = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        at, found = 0, Tags(page)
+        while (token := found.following(at)) is not None:
+            begin, after, closing, tag, rest = token
+            self.text(page[at:begin])
+            at = after
             if not tag:
                 continue
             tag = tag.lower()
@@ -86,7 +126,7 @@ class Builder:
                 continue
             self.start(tag, attributes(rest) if rest and rest.strip("/ \n\t") else {})
             if tag in RAW:
-                end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
+                end = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
                 inside = page[at : end.start() if end else len(page)]
                 if tag == "style":
                     self.styles.append(inside)
@@ -94,6 +134,7 @@ class Builder:
                     self.stack[-1].children.append(html.unescape(inside))
                 self.end(tag)
                 at = end.end() if end else len(page)
+        self.text(page[at:])
 
     def text(self, text: str) -> None:
         if text:
@@ -151,37 +192,110 @@ class Builder:
             self.close({tag}, () if tag in ("table", "template") else {"table"} if tag in CELLS | SECTIONS | {"tr", "caption"} else WALLS)
 
 
-def hidden_by(styles: list[str]) -> set[tuple[str, str]]:
-    """(element, .class or #id) pairs that simple selectors hide; an empty part matches any."""
-    found = set()
+def on_screen(condition: str) -> bool:
+    """Whether a rule group applies to a screen of unknown size: conditions on features do not."""
+    for query in condition.lower().split(","):
+        words = query.split()
+        negated = words[:1] == ["not"]
+        words = words[1:] if words[:1] in (["not"], ["only"]) else words
+        if len(words) == 1 and "(" not in query and (words[0] in ("all", "screen")) != negated:
+            return True
+    return False
+
+
+def css_rules(sheet: str) -> Iterator[tuple[str, str]]:
+    """(selectors, declarations) of the rules that apply to a screen, in order; one forward scan, groups may be nested."""
+    sheet, at, open_blocks = CSS_COMMENT.sub(" ", sheet), 0, []
+    for m in re.finditer(r"[{};]", sheet):
+        inside = sheet[at : m.start()].strip()
+        if m[0] == "{":
+            group = inside.lower()
+            applies = not open_blocks or open_blocks[-1][1]
+            if group.startswith("@media"):
+                applies = applies and on_screen(inside[6:])
+            elif group.startswith("@"):
+                applies = applies and group.startswith("@layer")
+            open_blocks.append((inside, applies, []))
+        elif open_blocks:
+            if inside:
+                open_blocks[-1][2].append(inside)
+            if m[0] == "}":
+                selectors, applies, body = open_blocks.pop()
+                if applies and not selectors.startswith("@"):
+                    yield selectors, ";".join(body)
+        at = m.end()
+
+
+def declared(body: str) -> Iterator[tuple[str, bool, bool]]:
+    """(property, important, whether it hides) of the declarations that matter here."""
+    for part in body.split(";"):
+        if (m := DISPLAY.match(part.strip())) is not None:
+            yield m[1].lower(), bool(m[3]), m[2].lower() in ("none", "hidden", "collapse")
+
+
+def style_rules(styles: list[str]) -> dict[tuple[str, str], list]:
+    """What simple selectors say of display and visibility: (element, .class or #id), an empty part for any, to ranked values."""
+    found: dict[tuple[str, str], list] = {}
+    order = 0
     for sheet in styles:
-        for selectors, body in RULE.findall(sheet):
-            if HIDES.search(body):
+        for selectors, body in css_rules(sheet):
+            for prop, important, hides in declared(body):
                 for s in selectors.split(","):
+                    order += 1
                     if (m := SIMPLE.fullmatch(s.strip())) and s.strip():
-                        found.add(((m[1] or "").lower(), m[2] or ""))
+                        weight = ((m[2] or "").startswith("#"), (m[2] or "").startswith("."), bool(m[1]))
+                        found.setdefault(((m[1] or "").lower(), m[2] or ""), []).append((prop, (important, False, weight, order), hides))
     return found
 
 
-def is_hidden(node: Node, rules: set[tuple[str, str]]) -> bool:
-    if node.tag in UNSEEN:
-        return True
+def shown(node: Node, rules: dict[tuple[str, str], list], visible: bool) -> tuple[bool, bool]:
+    """Whether a node is displayed, and whether its own text is visible, by the cascade; visibility is inherited."""
     a = node.attrs
-    if a and ("hidden" in a or HIDES.search(a.get("style", ""))):
-        return True
-    if node.tag == "dialog" and "open" not in a or node.tag == "input" and a.get("type", "").lower() == "hidden":
-        return True
+    if node.tag in UNSEEN or node.tag == "input" and a.get("type", "").lower() == "hidden":
+        return False, False
+    best: dict[str, tuple] = {}
     if rules:
         names = ["", *("." + c for c in a.get("class", "").split()), *(["#" + a["id"]] if "id" in a else [])]
-        return any((tag, name) in rules for tag in ("", node.tag) for name in names if tag or name)
-    return False
+        for key in ((tag, name) for tag in ("", node.tag) for name in names):
+            for prop, rank, hides in rules.get(key, ()):
+                if prop not in best or best[prop][0] < rank:
+                    best[prop] = (rank, hides)
+    if a and "style" in a:
+        for k, (prop, important, hides) in enumerate(declared(CSS_COMMENT.sub(" ", a["style"]))):
+            rank = (important, True, (False, False, False), k)
+            if prop not in best or best[prop][0] < rank:
+                best[prop] = (rank, hides)
+    absent = "hidden" in a or node.tag == "dialog" and "open" not in a
+    return not best.get("display", (None, absent))[1], not best.get("visibility", (None, not visible))[1]
+
+
+def prune(root: Node, rules: dict[tuple[str, str], list]) -> None:
+    """Takes out of a tree what is not displayed, and the strings that are not visible."""
+    displayed, visible = shown(root, rules, True)
+    left = [(root, visible, False)]
+    if not displayed:
+        root.children, left = [], []
+    while left:
+        node, visible, drawing = left.pop()
+        kept = []
+        for child in node.children:
+            if isinstance(child, str):
+                if visible:
+                    kept.append(child)
+                continue
+            displayed, inner = shown(child, rules, visible)
+            if not displayed or drawing and child.tag in UNSEEN_SVG:
+                continue
+            kept.extend((" ", child, " ") if drawing and child.tag == "text" else (child,))
+            left.append((child, inner, drawing or child.tag == "svg"))
+        node.children = kept
 
 
 class Page:
     """Lines of text under construction."""
 
-    def __init__(self, rules: set[tuple[str, str]]):
-        self.rules, self.lines, self.line, self.gap, self.space = rules, [], [], 0, False
+    def __init__(self):
+        self.lines, self.line, self.gap, self.space = [], [], 0, False
         self.indent: list[str] = []
         self.marker = ""
 
@@ -234,7 +348,7 @@ class Page:
                             self.put(line)
                 else:
                     self.text(child)
-            elif not is_hidden(child, self.rules):
+            else:
                 self.element(child, pre)
 
     def element(self, node: Node, pre: bool) -> None:
@@ -243,7 +357,7 @@ class Page:
             self.break_line()
         elif tag == "table":
             self.block(2)
-            for line in table_lines(node, self.rules):
+            for line in table_lines(node):
                 self.put(line)
                 self.block(0)
             self.block(2)
@@ -257,7 +371,7 @@ class Page:
                 self.render(option)
         elif tag == "details" and "open" not in node.attrs:
             for child in node.children:
-                if not isinstance(child, str) and child.tag == "summary" and not is_hidden(child, self.rules):
+                if not isinstance(child, str) and child.tag == "summary":
                     self.element(child, pre)
         elif tag in BLOCKS:
             gap = 2 if tag in SPACED else 1
@@ -291,8 +405,6 @@ class Page:
         for child in node.children:
             if isinstance(child, str):
                 self.text(child)
-            elif is_hidden(child, self.rules):
-                continue
             elif child.tag == "li":
                 number = whole(child.attrs.get("value"), number)
                 self.item(child, f"{number}. " if ordered else "- ")
@@ -325,7 +437,7 @@ def has_cells(node: Node) -> bool:
     return False
 
 
-def table_lines(node: Node, rules: set[tuple[str, str]]) -> list[str]:
+def table_lines(node: Node) -> list[str]:
     """A table as lines: its caption, then rows with their cells in columns."""
     rows, stray = {"thead": [], "": [], "tfoot": []}, []
 
@@ -334,8 +446,6 @@ def table_lines(node: Node, rules: set[tuple[str, str]]) -> list[str]:
             if isinstance(child, str):
                 stray.append(child)
                 continue
-            if is_hidden(child, rules):
-                continue
             if child.tag not in PARTS and not has_cells(child):
                 stray.append(child)
                 continue
@@ -357,31 +467,35 @@ def table_lines(node: Node, rules: set[tuple[str, str]]) -> list[str]:
 
     collect(node, "", None)
     # what stands in a table outside its cells goes before it
-    loose = Page(rules)
+    loose = Page()
     for child in stray:
         if isinstance(child, str):
             loose.text(child)
         else:
             loose.element(child, False)
-    lines, widths, laid, taken = loose.done(), {}, [], {}
+    lines, widths, narrow, laid, taken = loose.done(), {}, {}, [], {}
     for cells in [*rows["thead"], *rows[""], *rows["tfoot"]]:
         at, row = 0, []
         for cell in cells:
             while taken.get(at, 0) > 0:
                 at += 1
-            page = Page(rules)
+            page = Page()
             page.render(cell)
             text = page.done()
-            across = min(MAX_SPAN, max(1, whole(cell.attrs.get("colspan"), 1)))
-            down = min(MAX_SPAN, max(1, whole(cell.attrs.get("rowspan"), 1)))
+            across = min(MAX_ACROSS, max(1, whole(cell.attrs.get("colspan"), 1)))
+            down = min(MAX_DOWN, max(1, whole(cell.attrs.get("rowspan"), 1)))
             row.append((at, text))
             if across == 1:
-                widths[at] = max(widths.get(at, 0), max((len(x) for x in text if len(x) <= MAX_PAD), default=0))
+                widths[at] = max(widths.get(at, 0), max(map(len, text), default=0))
+                narrow[at] = max(narrow.get(at, 0), max((len(x) for x in text if len(x) <= NARROW), default=0))
             for k in range(at, at + across):
                 taken[k] = down
             at += across
         taken = {k: n - 1 for k, n in taken.items() if n > 1}
         laid.append(row)
+    height = sum(max((len(text) for _, text in row), default=0) for row in laid)
+    own = sum(len(line) for row in laid for _, text in row for line in text)
+    widths = {k: w if w * height <= PADDING * own + NARROW * height else narrow[k] for k, w in widths.items()}
     begins, at = {}, 0
     for k in range(max(widths, default=-1) + 1):
         begins[k] = at
@@ -400,10 +514,9 @@ def table_lines(node: Node, rules: set[tuple[str, str]]) -> list[str]:
 def render(page: str) -> str:
     """All visible text of a page, laid out."""
     tree = Builder(page)
-    rules = hidden_by(tree.styles)
-    out = Page(rules)
-    if not is_hidden(tree.root, rules):
-        out.render(tree.root)
+    prune(tree.root, style_rules(tree.styles))
+    out = Page()
+    out.render(tree.root)
     return "\n".join(out.done())
 
 
