@@ -4,165 +4,238 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from culvert.functions.net import peer_pair
 from culvert.plans.skew import attach, one_row
+from culvert.session import materialise
 
 VALUE_FIELDS = ("mode", "pfs_status", "auth_method", "version", "anti_replay")
 RECORD_FIELDS = ("source", "local", "remote", "ike_spi_i", *VALUE_FIELDS)
+FORMATS = ("list-sas", "list-conns", "conf", "xfrm")
 
-# What the pasted formats look like.
+# What names a key-exchange group, and the lines that begin a record and show a format.
 DH_TOKEN = r"(?i)(modp\d+|ecp\d+|curve\d+|x25519|x448|mlkem\d+|ml_kem|brainpool)"
 SAS_HEAD = r"^\S+: #\d+, \w+, (IKEv[12]), ([0-9a-f]{16})_i\*? ([0-9a-f]{16})_r"
 CONNS_HEAD = r"^\S+: (IKEv[12])"
 CONF_HEAD = r"^\s*remote_addrs\s*="
 XFRM_HEAD = r"^src (\S+) dst (\S+)"
+HEADS = {"list-sas": SAS_HEAD, "list-conns": CONNS_HEAD, "conf": CONF_HEAD, "xfrm": XFRM_HEAD}
 DETECT = {
-    "list-sas": r"(?m)^\S+: #\d+, \w+, IKEv[12], [0-9a-f]{16}_i",
-    "list-conns": r"(?m)^\S+: IKEv[12], ",
-    "conf": r"(?m)^\s*connections\s*\{",
-    "xfrm": r"(?m)^src \S+ dst \S+\s*$",
+    "list-sas": r"^\S+: #\d+, \w+, IKEv[12], [0-9a-f]{16}_i",
+    "list-conns": r"^\S+: IKEv[12], ",
+    "conf": r"^\s*connections\s*\{",
+    "xfrm": r"^src \S+ dst \S+\s*$",
 }
 
 
-def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    """One row per pasted file: ``path`` and its whole ``text``."""
-    df = spark.read.text(path, wholetext=True)
-    return df.select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "\r\n?", "\n").alias("text"))
+# --- status text ---------------------------------------------------------------------------------
+#
+# Texts stay lines: a dump of any size is read in byte ranges. A line belongs to the record whose head is the last one
+# before it, so all a line needs to know of the rest of its file is how many heads precede it. That is a running count
+# in its range plus the sum over earlier ranges. What a line says is then aggregated by (file, number of the record).
 
 
-def detect_formats(texts: DataFrame) -> DataFrame:
-    return texts.withColumns({f"is_{k.replace('-', '_')}": F.col("text").rlike(p) for k, p in DETECT.items()})
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of all files: ``path``, byte range ``part``, ``seq`` (rising within a range) and ``line``.
+
+    Files are split by ``spark.sql.files.maxPartitionBytes``; compressed ones are one range each. An empty file has no line.
+    """
+    at = [F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("part")]
+    return spark.read.text(path).select(*at, F.monotonically_increasing_id().alias("seq"), F.col("value").alias("line"))
+
+
+def number_lines(lines: DataFrame) -> DataFrame:
+    """Non-blank lines with their number ``n`` in the file and, per format, the number of heads up to and with them.
+
+    One row per byte range is summed over its file; lines are only ordered within a range.
+    """
+    own = Window.partitionBy("path", "part").orderBy("seq")
+    shown = lines.filter(F.trim(F.translate("line", "\t", " ")) != "")
+    heads = {f"h{i}": F.col("line").rlike(HEADS[f]).cast("long") for i, f in enumerate(FORMATS)}
+    marked = shown.withColumns({"n": F.lit(1).cast("long"), **heads})
+    counts = ["n", *heads]
+    before = Window.partitionBy("path").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = marked.groupBy("path", "part").agg(*[F.sum(c).alias(c) for c in counts])
+    earlier = totals.select("path", "part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_{c}") for c in counts])
+    running = marked.select("path", "part", "line", *[F.sum(c).over(own.rowsBetween(Window.unboundedPreceding, 0)).alias(c) for c in counts])
+    return running.join(earlier, ["path", "part"]).select("path", "line", *[(F.col(c) + F.col(f"_{c}")).alias(c) for c in counts])
+
+
+def _braces(rows: DataFrame, word: str) -> DataFrame:
+    """Lines that open a section: ``word {``, or the word alone and the brace on the next line that is not blank (a comment is not).
+
+    ``rows`` need hold only lines with the word and lines that begin with a brace.
+    """
+    line = F.rtrim(F.translate("line", "\t", " "))
+    same = rows.filter(line.rlike(rf"{word} *\{{"))
+    alone = rows.filter(line.endswith(word)).withColumn("n", F.col("n") + 1)
+    brace = rows.filter(F.ltrim(line).startswith("{")).select("path", "n").distinct()
+    return same.unionByName(alone.join(brace, ["path", "n"], "left_semi"))
+
+
+def formats_found(numbered: DataFrame) -> DataFrame:
+    """``path`` and ``format`` of every format that a file shows; a file may show several."""
+    shown = F.array_compact(F.array(*[F.when(F.col("line").rlike(p), F.lit(f)) for f, p in DETECT.items()]))
+    at_line = numbered.select("path", F.explode(shown).alias("format"))
+    text = F.trim(F.translate("line", "\t", " "))
+    sections = _braces(numbered.filter((text == "connections") | text.startswith("{")), "connections").select("path", F.lit("conf").alias("format"))
+    return at_line.unionByName(sections).distinct()
+
+
+def _words(line: Column) -> Column:
+    return F.split(F.trim(F.translate(line, "\t", " ")), " +")
+
+
+def _after(words: Column, word: str) -> Column:
+    """The word behind the first ``word`` of a line."""
+    at = F.array_position(words, word)
+    return F.when(at > 0, F.get(words, at.cast("int")))
 
 
-def _all(text: Column, pattern: str, group: int) -> Column:
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+def _address(text: Column) -> Column:
+    return F.when(text.rlike("^[0-9a-fA-F:.]+$"), text)
 
 
-def _last(values: Column) -> Column:
-    return F.try_element_at(values, F.lit(-1))
+def _last(value: Column) -> Column:
+    """Of the lines of a group that say something the last."""
+    return F.max_by(value, F.when(value.isNotNull(), F.col("n")))
 
 
-def _first(values: Column) -> Column:
-    return F.try_element_at(values, F.lit(1))
+def _first(value: Column) -> Column:
+    return F.min_by(value, F.when(value.isNotNull(), F.col("n")))
 
 
-def _blocks(texts: DataFrame, form: str, head: str) -> DataFrame:
-    """Text cut before each header line; ``position`` numbers the pieces within the file."""
-    pieces = F.split("text", f"(?m)(?={head})")
-    cut = texts.filter(F.col("text").rlike(DETECT[form])).select("path", F.posexplode(pieces).alias("position", "block"))
-    return cut.filter(F.col("block").rlike(f"(?m)\\A{head}"))
+def _indented(value: Column) -> Column:
+    return F.when(F.col("line").rlike("^[ \t]"), value)
 
 
-def _record(df: DataFrame, form: str, rank: int, **values: Column) -> DataFrame:
+def _of_format(numbered: DataFrame, found: DataFrame, form: str) -> DataFrame:
+    """Lines of the files that show a format, ``block`` being the number of the record."""
+    paths = found.filter(F.col("format") == form).select("path")
+    return numbered.join(paths, "path", "left_semi").select("path", "line", "n", F.col(f"h{FORMATS.index(form)}").alias("block"))
+
+
+def _record(df: DataFrame, form: str, **values: Column) -> DataFrame:
+    """Record columns; ``rec_ix`` orders records of a file by format, then by place."""
     none = F.lit(None).cast("string")
     out = {"source": F.lit(form), **values}
     cols = [out.get(f, none if f != "anti_replay" else F.lit(None).cast("boolean")).alias(f) for f in RECORD_FIELDS]
-    order = (F.lit(rank).cast("bigint") * 1_000_000_000 + F.col("position")).alias("rec_ix")
+    order = (F.lit(FORMATS.index(form) << 40) + F.col("block")).alias("rec_ix")
     return df.select("path", order, *cols)
 
 
-def parse_list_sas(texts: DataFrame) -> DataFrame:
-    b = F.col("block")
-    child = r"INSTALLED, (TUNNEL|TRANSPORT)[^,\n]*, (?:ESP|AH):(\S+)"
-    keyed = F.exists(_all(b, child, 2), lambda p: p.rlike(DH_TOKEN))
-    return _record(
-        _blocks(texts, "list-sas", SAS_HEAD), "list-sas", 0,
-        ike_spi_i=F.lower(F.regexp_extract(b, SAS_HEAD, 2)),
-        version=F.regexp_extract(b, SAS_HEAD, 1),
-        local=_last(_all(b, r"(?m)^[ \t]+local\s+'[^']*' @ ([0-9a-fA-F:.]+)\[", 1)),
-        remote=_last(_all(b, r"(?m)^[ \t]+remote\s+'[^']*' @ ([0-9a-fA-F:.]+)\[", 1)),
-        mode=F.lower(_last(_all(b, child, 1))),
-        pfs_status=F.when(keyed, "enabled"),
-    )
+def parse_list_sas(numbered: DataFrame, found: DataFrame) -> DataFrame:
+    """Established tunnels: SPI and version from the head, the ends, and mode and group of the last child shown as installed."""
+    line, words = F.col("line"), _words(F.col("line"))
 
+    def end(side: str) -> Column:
+        host = F.substring_index(F.substring_index(line, "' @ ", -1), "[", 1)
+        return _indented(F.when((F.get(words, 0) == side) & line.contains("' @ ") & line.contains("["), _address(host)))
 
-def parse_list_conns(texts: DataFrame) -> DataFrame:
-    b = F.col("block")
-    auth_lines = _all(b, r"(?m)^[ \t]+remote (.+?) authentication:", 1)
-    named = F.filter(
-        F.transform(
-            auth_lines,
-            lambda a: F.when(a.contains("XAuth"), "XAUTH").when(a.contains("EAP"), "EAP").when(a.contains("pre-shared key"), "PSK"),
-        ),
-        lambda a: a.isNotNull(),
-    )
-    return _record(
-        _blocks(texts, "list-conns", CONNS_HEAD), "list-conns", 1,
-        version=F.regexp_extract(b, CONNS_HEAD, 1),
-        local=_last(_all(b, r"(?m)^[ \t]+local:\s+([0-9a-fA-F:.]+)[ \t]*$", 1)),
-        remote=_last(_all(b, r"(?m)^[ \t]+remote:\s+([0-9a-fA-F:.]+)[ \t]*$", 1)),
-        auth_method=_last(named),
-        mode=F.lower(_last(_all(b, r"(?m)^[ \t]+\S+: (TUNNEL|TRANSPORT)\b", 1))),
+    parts = F.split(line, ", ")
+    at = F.array_position(parts, "INSTALLED").cast("int")
+    suite = F.when((at > 0) & F.get(parts, at + 1).rlike("^(ESP|AH):."), F.get(parts, at + 1))
+    mode = F.when(suite.isNotNull(), F.nullif(F.regexp_extract(F.get(parts, at), "^(TUNNEL|TRANSPORT)", 1), F.lit("")))
+    version, spi = (F.nullif(F.regexp_extract("line", SAS_HEAD, g), F.lit("")) for g in (1, 2))
+    said = _of_format(numbered, found, "list-sas").filter("block > 0").groupBy("path", "block").agg(
+        F.max(version).alias("version"), F.max(spi).alias("spi"), _last(end("local")).alias("local"), _last(end("remote")).alias("remote"),
+        _last(F.lower(mode)).alias("mode"), F.max(mode.isNotNull() & F.get(F.split(suite, " "), 0).rlike(DH_TOKEN)).alias("keyed"),
     )
+    return _record(said, "list-sas", ike_spi_i=F.col("spi"), version=F.col("version"), local=F.col("local"), remote=F.col("remote"), mode=F.col("mode"), pfs_status=F.when(F.col("keyed"), "enabled"))
 
 
-def _setting(text: Column, key: str) -> Column:
-    return F.transform(_all(text, rf"(?m)^[ \t]*{key}[ \t]*=[ \t]*(\S.*?)[ \t]*$", 1), F.trim)
+def parse_list_conns(numbered: DataFrame, found: DataFrame) -> DataFrame:
+    """Configured connections: version from the head; ends, how the remote side proves itself, and the mode of the last child."""
+    line, words = F.col("line"), _words(F.col("line"))
 
+    def end(side: str) -> Column:
+        return _indented(F.when((F.get(words, 0) == side + ":") & (F.size(words) == 2), _address(F.get(words, 1))))
 
-def parse_conf(texts: DataFrame) -> DataFrame:
-    """One record per ``remote_addrs``; what precedes it since the last one holds ``local_addrs``."""
-    clean = texts.filter(F.col("text").rlike(DETECT["conf"])).withColumn("text", F.regexp_replace("text", "#.*", ""))
-    pieces = F.split("text", f"(?m)(?={CONF_HEAD})")
-    with_head = F.transform(pieces, lambda p, i: F.struct(p.alias("block"), F.when(i > 0, F.get(pieces, i - 1)).otherwise("").alias("head")))
-    df = clean.select("path", F.posexplode(with_head).alias("position", "p")).filter(F.col("p.block").rlike(rf"(?m)\A{CONF_HEAD}"))
-    block, head = F.col("p.block"), F.col("p.head")
-    auths, modes, esp = _setting(block, "auth"), _setting(block, "mode"), _setting(block, "esp_proposals")
-    version = _last(_setting(F.concat(head, block), "version"))
-    proposals = F.flatten(F.transform(esp, lambda v: F.split(v, ",")))
-    stated = (F.size(esp) > 0) & ~F.array_join(esp, " ").contains("default")
+    proof = F.substring_index(line, " authentication:", 1)
+    method = F.when(proof.contains("XAuth"), "XAUTH").when(proof.contains("EAP"), "EAP").when(proof.contains("pre-shared key"), "PSK")
+    auth = _indented(F.when((F.get(words, 0) == "remote") & line.contains(" authentication:"), method))
+    mode = _indented(F.when(F.get(words, 0).endswith(":"), F.nullif(F.regexp_extract(F.get(words, 1), r"^(TUNNEL|TRANSPORT)\b", 1), F.lit(""))))
+    said = _of_format(numbered, found, "list-conns").filter("block > 0").groupBy("path", "block").agg(
+        F.max(F.nullif(F.regexp_extract("line", CONNS_HEAD, 1), F.lit(""))).alias("version"), _last(end("local")).alias("local"),
+        _last(end("remote")).alias("remote"), _last(auth).alias("auth"), _last(F.lower(mode)).alias("mode"),
+    )
+    return _record(said, "list-conns", version=F.col("version"), local=F.col("local"), remote=F.col("remote"), auth_method=F.col("auth"), mode=F.col("mode"))
+
+
+def parse_conf(numbered: DataFrame, found: DataFrame) -> DataFrame:
+    """One record per ``remote_addrs``; what precedes it since the last one, its head, holds ``local_addrs``.
+
+    The version is the last one of head and record. A line's facts are summed for its own record; those two of the head
+    are handed to the next record by its number.
+    """
+    lines = _of_format(numbered, found, "conf").withColumn("line", F.substring_index("line", "#", 1))
+    key, text = F.trim(F.translate(F.substring_index("line", "=", 1), "\t", " ")), F.trim(F.translate("line", "\t", " "))
+    stated = text.contains("=")
+    value = F.when(stated, F.nullif(F.trim(F.substr(text, F.instr(text, "=") + 1)), F.lit("")))
+
+    def setting(name: str) -> Column:
+        return F.when(key == name, value)
+
+    auth, esp = setting("auth"), setting("esp_proposals")
+    groups = F.transform(F.split(esp, ","), lambda p: p.rlike(DH_TOKEN))
+    facts = lines.groupBy("path", "block").agg(
+        _first(setting("remote_addrs")).alias("remote"), _last(setting("local_addrs")).alias("next_local"), _last(setting("version")).alias("version"),
+        F.min(auth == "psk").alias("all_psk"), F.max(auth.startswith("eap")).alias("any_eap"), _first(setting("mode")).alias("mode"),
+        F.max(esp.contains("default")).alias("any_default"), F.min(F.forall(groups, lambda g: g)).alias("all_groups"), F.max(F.exists(groups, lambda g: g)).alias("any_group"),
+    )
+    inner = _braces(lines.filter(F.col("line").contains("children") | text.startswith("{")), "children").select("path", "block").distinct()
+    facts = facts.join(inner.withColumn("children", F.lit(True)), ["path", "block"], "left")
+    heads = facts.select("path", (F.col("block") + 1).alias("block"), F.col("next_local").alias("local"), F.col("version").alias("head_version"))
+    said = facts.filter("block > 0").join(heads, ["path", "block"], "left")
+    version = F.coalesce("version", "head_version")
+    mode = F.when(F.col("mode").isNotNull(), F.when(F.col("mode").startswith("transport"), "transport").otherwise("tunnel")).when(F.col("children"), "tunnel")
+    pfs = F.when(~F.col("any_default"), F.when(F.col("all_groups"), "enabled").when(~F.col("any_group"), "disabled"))
 
-    def first_of(values: Column) -> Column:
-        return F.trim(F.get(F.split(values, ","), 0))
+    def first_of(name: str) -> Column:
+        return F.trim(F.substring_index(name, ",", 1))
 
     return _record(
-        df, "conf", 2,
-        remote=first_of(_first(_setting(block, "remote_addrs"))),
-        local=first_of(_last(_setting(head, "local_addrs"))),
-        version=F.when(version.isNotNull(), F.when(version == "1", "IKEv1").otherwise("IKEv2")),
-        auth_method=F.when((F.size(auths) > 0) & F.forall(auths, lambda a: a == "psk"), "PSK").when(F.exists(auths, lambda a: a.startswith("eap")), "EAP"),
-        mode=F.when(F.size(modes) > 0, F.when(_first(modes).startswith("transport"), "transport").otherwise("tunnel")).when(block.rlike(r"children\s*\{"), "tunnel"),
-        pfs_status=F.when(stated & F.forall(proposals, lambda p: p.rlike(DH_TOKEN)), "enabled").when(stated & ~F.exists(proposals, lambda p: p.rlike(DH_TOKEN)), "disabled"),
+        said, "conf", remote=first_of("remote"), local=first_of("local"), mode=mode, pfs_status=pfs,
+        version=F.when(version.isNotNull(), F.when(version == "1", "IKEv1").otherwise("IKEv2")), auth_method=F.when(F.col("all_psk"), "PSK").when(F.col("any_eap"), "EAP"),
     )
 
 
-def parse_xfrm(texts: DataFrame) -> DataFrame:
+def parse_xfrm(numbered: DataFrame, found: DataFrame) -> DataFrame:
     """One record per unordered pair: a mode all its entries share, a window if any keeps one."""
-    b = F.col("block")
-    blocks = _blocks(texts, "xfrm", XFRM_HEAD).select(
-        "path", "position",
-        F.regexp_extract(b, XFRM_HEAD, 1).alias("a"), F.regexp_extract(b, XFRM_HEAD, 2).alias("b"),
-        _all(b, r"proto (?:esp|ah) spi 0x[0-9a-f]+ .*mode (\w+)", 1).alias("modes"),
-        _all(b, r"(?m)^[ \t]+replay-window (\d+)", 1).cast("array<int>").alias("windows"),
+    words = _words(F.col("line"))
+    sa = _after(words, "proto").isin("esp", "ah") & _after(words, "spi").startswith("0x")
+    window = _indented(F.when(F.get(words, 0) == "replay-window", F.regexp_extract(F.get(words, 1), r"^\d+", 0).try_cast("long")))
+    ends = F.when(F.col("line").rlike(XFRM_HEAD), F.struct(F.get(words, 1).alias("a"), F.get(words, 3).alias("b")))
+    entries = _of_format(numbered, found, "xfrm").filter("block > 0").groupBy("path", "block").agg(
+        F.first(ends, ignorenulls=True).alias("ends"), F.min(F.when(sa, _after(words, "mode"))).alias("lo"), F.max(F.when(sa, _after(words, "mode"))).alias("hi"),
+        F.count(window).alias("n_windows"), F.max(window).alias("window"),
     )
-    pairs = blocks.groupBy("path", peer_pair(F.col("a"), F.col("b")).alias("_pair")).agg(
-        F.min("position").alias("position"),
-        F.min_by(F.struct("a", "b"), "position").alias("_ends"),
-        F.min(F.array_min("modes")).alias("_lo"), F.max(F.array_max("modes")).alias("_hi"),
-        F.sum(F.size("windows")).alias("_n"), F.max(F.array_max("windows")).alias("_w"),
+    pairs = entries.groupBy("path", peer_pair(F.col("ends.a"), F.col("ends.b")).alias("_pair")).agg(
+        F.min_by("ends", "block").alias("ends"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
+        F.sum("n_windows").alias("n_windows"), F.max("window").alias("window"), F.min("block").alias("block"),
     )
-    shared = (F.col("_lo") == F.col("_hi")) & F.col("_lo").isin("tunnel", "transport")
+    shared = (F.col("lo") == F.col("hi")) & F.col("lo").isin("tunnel", "transport")
     return _record(
-        pairs, "xfrm", 3,
-        local=F.col("_ends.a"), remote=F.col("_ends.b"),
-        mode=F.when(shared, F.col("_lo")), anti_replay=F.when(F.col("_n") >= 2, F.col("_w") > 0),
+        pairs, "xfrm", local=F.col("ends.a"), remote=F.col("ends.b"),
+        mode=F.when(shared, F.col("lo")), anti_replay=F.when(F.col("n_windows") >= 2, F.col("window") > 0),
     )
 
 
 PARSERS = (parse_list_sas, parse_list_conns, parse_conf, parse_xfrm)
 
 
-def parse_gateway_state(texts: DataFrame) -> DataFrame:
-    """Records of every format found in each text; a text may hold several formats."""
-    return reduce(lambda a, b: a.unionByName(b), [p(texts) for p in PARSERS])
+def parse_gateway_state(lines: DataFrame) -> DataFrame:
+    """Records of every format found in each file of ``read_lines``; a file may hold several formats. Numbered lines are written once."""
+    numbered = materialise(number_lines(lines), "gateway-lines")
+    found = formats_found(numbered)
+    return reduce(lambda a, b: a.unionByName(b), [p(numbered, found) for p in PARSERS])
 
 
-def unparsed_texts(texts: DataFrame) -> DataFrame:
-    """Texts in none of the formats: an error for the importer."""
-    return texts.filter(~reduce(lambda a, b: a | b, [F.col("text").rlike(p) for p in DETECT.values()])).select("path")
+def unparsed_texts(lines: DataFrame) -> DataFrame:
+    """Files in none of the formats: an error for the importer. A file of blank lines is one of them."""
+    return lines.select("path").distinct().join(formats_found(number_lines(lines)).select("path").distinct(), "path", "left_anti")
 
 
 # --- reconcile ---------------------------------------------------------------------------------

@@ -214,9 +214,9 @@ src 10.2.0.2 dst 10.2.0.1
 def test_gateway_formats(spark, tmp_path):
     for name, text in (("sas", GATEWAY), ("conns", CONNS), ("conf", CONF), ("xfrm", XFRM), ("both", GATEWAY + XFRM), ("none", "hello\n")):
         (tmp_path / f"{name}.txt").write_text(text)
-    texts = gateway.read_texts(spark, str(tmp_path))
+    lines = gateway.read_lines(spark, str(tmp_path))
     recs = {}
-    for r in gateway.parse_gateway_state(texts).orderBy("path", "rec_ix").collect():
+    for r in gateway.parse_gateway_state(lines).orderBy("path", "rec_ix").collect():
         recs.setdefault(r["path"].rsplit("/", 1)[1], []).append(r)
     sas = recs["sas.txt"][0]
     assert (sas["ike_spi_i"], sas["local"], sas["remote"], sas["mode"], sas["version"]) == ("1122334455667788", "192.0.2.1", "192.0.2.2", "transport", "IKEv2")
@@ -226,7 +226,34 @@ def test_gateway_formats(spark, tmp_path):
     assert (conf["local"], conf["remote"], conf["auth_method"], conf["mode"], conf["pfs_status"], conf["version"]) == ("10.1.0.1", "10.1.0.2", "PSK", "tunnel", "enabled", "IKEv2")
     assert [(r["local"], r["mode"], r["anti_replay"]) for r in recs["xfrm.txt"]] == [("10.2.0.1", "transport", True)]
     assert [r["source"] for r in recs["both.txt"]] == ["list-sas", "xfrm"]
-    assert [r["path"].rsplit("/", 1)[1] for r in gateway.unparsed_texts(texts).collect()] == ["none.txt"]
+    assert [r["path"].rsplit("/", 1)[1] for r in gateway.unparsed_texts(lines).collect()] == ["none.txt"]
+
+
+def test_gateway_text_in_byte_ranges(spark, tmp_path):
+    """A dump of many gateways gives the same records however it is cut, also where a record or its head straddles a cut."""
+    def numbered(i):
+        return GATEWAY.replace("1122334455667788", f"{i:016x}") + CONF.replace("10.1.0.", f"10.1.{i}.").replace("children {", "children\n\n{") + CONNS + XFRM.replace("10.2.0.", f"10.2.{i}.")
+
+    (tmp_path / "fleet.txt").write_bytes("".join(map(numbered, range(60))).replace("\n", "\r\n").encode())
+    got, before = {}, spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("64m", "1013", "401"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            lines = gateway.read_lines(spark, str(tmp_path))
+            parts = lines.select("part").distinct().count()
+            got[size] = (parts, gateway.parse_gateway_state(lines).orderBy("rec_ix").collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    whole = got["64m"][1]
+    assert got["64m"][0] == 1 and got["1013"][0] > 30 and got["401"][0] > 70
+    assert got["1013"][1] == whole and got["401"][1] == whole
+    by = {}
+    for r in whole:
+        by.setdefault(r["source"], []).append(r)
+    assert {k: len(v) for k, v in by.items()} == {"list-sas": 60, "list-conns": 60, "conf": 60, "xfrm": 60}
+    assert [r["ike_spi_i"] for r in by["list-sas"]] == [f"{i:016x}" for i in range(60)]
+    assert [(r["local"], r["remote"], r["mode"], r["pfs_status"], r["version"]) for r in by["conf"]] == [(f"10.1.{i}.1", f"10.1.{i}.2", "tunnel", "enabled", "IKEv2") for i in range(60)]
+    assert [(r["local"], r["mode"], r["anti_replay"]) for r in by["xfrm"]] == [(f"10.2.{i}.1", "transport", True) for i in range(60)]
 
 
 def test_labels_and_manifest(spark, tmp_path):
