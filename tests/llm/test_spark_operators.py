@@ -100,6 +100,35 @@ def test_line_rules(docs, none):
     assert line_rules.line_rules(none).count() == 0
 
 
+def test_common_lines_leave_texts(spark):
+    """A line in more than 20 of a host's documents goes from the texts of that host alone, in any case and with any digits."""
+    body = " ".join(f"w{k}" for k in range(30))
+    made = [(i, f"{body} {i}\n\nCopyright  {i % 10} BY us\nlast line of {i} x{'y' * i}", "a" if i < 25 else None, i, "c") for i in range(45)]
+    made += [(50, "copyright 7 by us\n" * 3 + "one two", "a", 0, "c"), (None, body + "\ncopyright 0 by us", "a", 0, "c"), (51, None, "a", 0, "c")] + made[:1]
+    docs = spark.createDataFrame(made, "doc_id long, text string, source string, cut int, uid string")
+    got = line_rules.without_common_lines(docs)
+    assert got.columns == docs.columns
+    rows = sorted(got.collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"]))
+    want = [made[0], *made[:45]]
+    assert [r["doc_id"] for r in rows] == [*(r[0] for r in want), None]
+    for r, (i, text, host, _, _) in zip(rows, want, strict=False):
+        lines = text.split("\n")
+        assert r["text"] == ("\n".join(x for x in lines if "BY" not in x) if host else text) and (r["cut"], r["uid"]) == (i, "c")
+    assert rows[-1]["text"] == body
+    lost = {r["id"]: r["lost_words"] for r in line_rules.line_rules(docs).collect()}
+    assert lost[3] == 4 and lost[30] == 0 and lost[50] == 12
+    assert line_rules.without_common_lines(docs.limit(0)).count() == 0
+
+
+def test_line_limit_is_bounded(spark):
+    """In a host of 6,000 documents 2 % would be 120: a line of 101 is above the limit all the same, one of 100 is not."""
+    words = F.concat_ws(" ", *[F.concat(F.lit(f"k{k}x"), F.col("id").cast("string")) for k in range(12)])
+    text = F.concat_ws("\n", words, F.when(F.col("id") < 101, "common foot line"), F.when(F.col("id") >= 5900, "rarer foot line"))
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("h").alias("source"))
+    lost = line_rules.line_rules(docs).filter("lost_words > 0")
+    assert lost.agg(F.count("*"), F.max("id"), F.max("lost_words")).first()[:] == (101, 100, 3)
+
+
 def test_topk(spark):
     rng = random.Random(3)
     vectors = [(k, [rng.uniform(-1, 1) for _ in range(8)]) for k in range(260)]
