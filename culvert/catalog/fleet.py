@@ -133,6 +133,32 @@ for _key, _sql in {"risk": f"{ORANK}, risk_score", "cipher": "encryption", "peer
         (lambda k: lambda s, d: O.page(O.sort_sessions(assessed(s, d), k), 3, 25).select("row_no", "session_id", "risk_score"))(_key),
         f"{A} SELECT row_no, session_id, risk_score FROM assessed ORDER BY {_sql}, row_no LIMIT 25 OFFSET 75",
     )
+    if _key in ("risk", "peer"):
+        add(
+            f"session_places_by_{_key}",
+            (lambda k: lambda s, d: O.PageIndex(assessed(s, d), O.sort_order(k)).pages(25).select("row_no", "session_id", "place", "page"))(_key),
+            f"{A} SELECT row_no, session_id, row_number() OVER o - 1 AS place, (row_number() OVER o - 1) // 25 AS page FROM assessed WINDOW o AS (ORDER BY {_sql}, row_no)",
+        )
+NEEDLES = ("encryption", "substr(dh_group, 1, 2)", "vendor", "substr(initiator_ip, 4)", "substr(responder_ip, 1, 1)", "right(session_id, 5)", "' ' || upper(vendor) || 'x'")
+
+
+def needle_hits(s, d):
+    """Every value that these fields take, and parts of them, sought in all sessions at once."""
+    rows = assessed(s, d)
+    fields = rows.select("ike.encryption", "ike.dh_group", "ike.vendor", "initiator_ip", "responder_ip", "session_id")
+    needles = fields.select(F.explode(F.array(*[F.expr(n) for n in NEEDLES])).alias("needle")).filter("needle IS NOT NULL").distinct()
+    hits = O.SearchIndex(rows, "row_no").find(needles)
+    return hits.groupBy("needle").agg(F.count("*").alias("hits"), F.min("row_id").alias("first_row"), F.sum("row_id").alias("row_sum"))
+
+
+add(
+    "search_hits",
+    needle_hits,
+    f"""{A}, needles AS (SELECT DISTINCT unnest([{', '.join(NEEDLES)}]) AS needle FROM assessed),
+    t AS (SELECT row_no, lower(concat_ws(' ', session_id, initiator_ip, responder_ip, encryption, dh_group, vendor, predicted_type)) AS text FROM assessed),
+    u AS (SELECT text, count(*) AS n, min(row_no) AS first_row, sum(row_no) AS row_sum FROM t GROUP BY text)
+    SELECT needle, sum(n)::BIGINT AS hits, min(first_row) AS first_row, sum(row_sum)::BIGINT AS row_sum FROM needles JOIN u ON contains(text, lower(trim(needle))) WHERE needle IS NOT NULL GROUP BY needle""",
+)
 add(
     "session_search",
     lambda s, d: O.filter_sessions(assessed(s, d), version="IKEv2", peer="192.168.0.1", search=" cisco ").select("row_no", "session_id"),

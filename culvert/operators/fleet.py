@@ -16,6 +16,7 @@ from culvert.functions.net import ipv4_to_long
 from culvert.functions.numeric import half_even
 from culvert.operators.anomalies import severity_rank
 from culvert.operators.flows import NO_ESP
+from culvert.session import materialise
 
 TRAFFIC_ORDER = ("VoIP", "Video", "Web", "Email", "ICMP", "Chat", "Other")  # fixed display order
 LEVELS = ("High", "Med", "Low")
@@ -250,10 +251,12 @@ SORTS = {
 }
 
 
+def sort_order(key: str, descending: bool = False, tie: str = "row_no") -> list[Column]:
+    return [c.desc() if descending else c.asc() for c in SORTS[key]() + [F.col(tie)]]
+
+
 def sort_sessions(assessed: DataFrame, key: str, descending: bool = False, tie: str = "row_no") -> DataFrame:
-    """Global order by one of the table's sort keys; addresses order numerically."""
-    columns = SORTS[key]() + [F.col(tie)]
-    return assessed.orderBy(*[c.desc() if descending else c.asc() for c in columns])
+    return assessed.orderBy(*sort_order(key, descending, tie))
 
 
 def filter_sessions(
@@ -269,8 +272,7 @@ def filter_sessions(
         df = df.filter(peers.contains(peer))
     needle = (search or "").strip().lower()
     if needle:
-        text = F.concat_ws(" ", "session_id", peers, "ike.encryption", "ike.dh_group", "ike.vendor", "traffic.predicted_type")
-        df = df.filter(F.lower(text).contains(needle))
+        df = df.filter(search_text().contains(needle))
     return df
 
 
@@ -278,6 +280,79 @@ def page(ordered: DataFrame, index: int, size: int) -> DataFrame:
     return ordered.offset(index * size).limit(size)
 
 
+class PageIndex:
+    """A listing in one full order, written once with the place of every row, so that any page is a look-up by place.
+
+    Rows are range-partitioned by the sort columns (the last of them unique, so that equal keys split too) and sorted
+    within ranges; a row's place is its place in its range plus the sizes of earlier ranges. The index is written in
+    order, so that a page reads the few row groups that hold its places, however deep it lies.
+    """
+
+    def __init__(self, df: DataFrame, order: list[Column], partitions: int | None = None):
+        spark = df.sparkSession
+        self.columns = df.columns
+        ranged = df.repartitionByRange(partitions or int(spark.conf.get("spark.sql.shuffle.partitions")), *order)
+        cut = materialise(ranged.withColumn("_range", F.spark_partition_id()), "page-ranges")
+        sizes = cut.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+        before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        own = F.row_number().over(Window.partitionBy("_range").orderBy(*order)).cast("long")
+        placed = cut.withColumn("_own", own).join(F.broadcast(before.select("_range", "_before")), "_range")  # one row for each range
+        self.table = materialise(placed.select((F.col("_before") + F.col("_own") - 1).alias("place"), *self.columns), "page-index")
+
+    def page(self, index: int, size: int) -> DataFrame:
+        """Rows ``index * size`` and on of the full order, with their ``place``; none beyond the end."""
+        first = index * size
+        return self.table.filter((F.col("place") >= first) & (F.col("place") < first + size))
+
+    def pages(self, size: int) -> DataFrame:
+        """The number of the page of every row, beside the row."""
+        return self.table.withColumn("page", F.floor(F.col("place") / size).cast("long"))
+
+
+SEARCHED = ("session_id", "initiator_ip", "responder_ip", "ike.encryption", "ike.dh_group", "ike.vendor", "traffic.predicted_type")
+
+
+def search_text() -> Column:
+    """What a search looks at: the fields in lower case, a null one left out, with single spaces between them."""
+    return F.lower(F.concat_ws(" ", *SEARCHED))
+
+
+GRAM = 3
+
+
+def grams(text: Column) -> Column:
+    """The distinct runs of up to three characters of a text, the empty one included."""
+    starts = F.sequence(F.lit(1), F.length(text) + 1)
+    return F.array_distinct(F.flatten(F.transform(F.array(*map(F.lit, range(GRAM + 1))), lambda n: F.transform(starts, lambda i: F.substr(text, i, n)))))
+
+
+class SearchIndex:
+    """Postings of character runs over the searched fields, for many needles at a time.
+
+    ``texts`` holds each distinct text once, ``members`` its rows, ``postings`` (gram, text_id) its runs of up to three
+    characters; these and the number of texts of each gram are written once. A needle meets the postings of its rarest run of
+    three alone (a shorter needle is a run itself), and each text found is verified, so answers are those of a scan.
+    """
+
+    def __init__(self, rows: DataFrame, id_col: str):
+        texts = rows.select(F.col(id_col).alias("row_id"), search_text().alias("text")).withColumn("text_id", F.sha2("text", 256))
+        self.members = materialise(texts.select("text_id", "row_id"), "search-rows")
+        self.texts = materialise(texts.select("text_id", "text").distinct(), "search-texts")
+        found = self.texts.select("text_id", F.explode(grams(F.col("text"))).alias("gram"))
+        self.postings = materialise(found.repartitionByRange("gram", "text_id").sortWithinPartitions("gram", "text_id"), "search-postings")
+        self.sizes = materialise(self.postings.groupBy("gram").agg(F.count(F.lit(1)).alias("texts")), "search-grams")
+
+    def find(self, needles: DataFrame, column: str = "needle") -> DataFrame:
+        """``needle, row_id`` of every row whose text contains the needle, trimmed and in lower case; an empty or null needle finds every row."""
+        asked = needles.select(F.col(column).alias("needle"), F.lower(F.trim(F.coalesce(column, F.lit("")))).alias("sought")).distinct()
+        own = F.filter(grams(F.col("sought")), lambda g: F.length(g) == F.least(F.length("sought"), F.lit(GRAM)))
+        counted = asked.select("needle", "sought", F.explode(own).alias("gram")).join(self.sizes, "gram", "left")
+        # a run that no text has counts as the rarest: nothing is found
+        rarest = counted.groupBy("needle", "sought").agg(F.min_by("gram", F.struct(F.coalesce("texts", F.lit(0)), "gram")).alias("gram"))
+        met = rarest.join(self.postings, "gram").join(self.texts, "text_id").filter(F.contains("text", "sought"))
+        return met.select("needle", "text_id").join(self.members, "text_id").select("needle", "row_id")
+
+
 def page_count(df: DataFrame, size: int) -> DataFrame:
     return df.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / size)).cast("bigint").alias("pages"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from culvert.functions import numeric
 from culvert.functions.ids import uuid5
 from culvert.functions.net import is_public
-from culvert.operators import associations, corpus, flows, gateway, learn, ledger, rules
+from culvert.operators import associations, corpus, fleet, flows, gateway, learn, ledger, rules
 from culvert.plans import skew, standins
 from culvert.sources import store
 from culvert.streaming import incremental, live
@@ -256,6 +256,33 @@ def test_gateway_text_in_byte_ranges(spark, tmp_path):
     assert [(r["local"], r["mode"], r["anti_replay"]) for r in by["xfrm"]] == [(f"10.2.{i}.1", "transport", True) for i in range(60)]
 
 
+def test_page_index(spark):
+    """A third of the rows share one sort value; pages of any size and depth are the slices of the full order."""
+    df = spark.range(2000).select(F.col("id").alias("row_no"), F.when(F.col("id") % 3 == 0, 50).otherwise(F.xxhash64("id") % 90).alias("score"))
+    order = [F.col("score").asc(), F.col("row_no").desc()]
+    whole = [tuple(r) for r in df.orderBy(*order).collect()]
+    for parts in (1, 7):
+        index = fleet.PageIndex(df, order, parts)
+        for at, size in ((0, 10), (150, 13), (4, 499), (2000, 1), (0, 5000)):
+            got = index.page(at, size).orderBy("place").collect()
+            assert [(r["row_no"], r["score"]) for r in got] == whole[at * size : (at + 1) * size]
+        assert index.pages(25).filter("page = 79").count() == 25
+    assert fleet.PageIndex(df.limit(0), order).page(0, 10).count() == 0
+
+
+def test_search_index(spark):
+    """The answers of a scan for needles of any length, with hits in one field, across two, and nowhere."""
+    made = [(i, f"AA{i:04x}", f"10.0.{i % 7}.1", "192.168.0.9", "AES-GCM" if i % 3 else None, "X25519", "Cisco" if i % 5 == 0 else None, "VoIP") for i in range(300)]
+    made += [(900, None, None, None, None, None, None, None), (901, *made[7][1:])]
+    raw = spark.createDataFrame(made, "row_no long, session_id string, initiator_ip string, responder_ip string, e string, d string, v string, p string")
+    rows = raw.select("row_no", "session_id", "initiator_ip", "responder_ip", F.struct(F.col("e").alias("encryption"), F.col("d").alias("dh_group"), F.col("v").alias("vendor")).alias("ike"), F.struct(F.col("p").alias("predicted_type")).alias("traffic"))
+    needles = ["", None, "  ", "c", "1f", "aa0", " CISCO ", "cisco voip", ".1 192", "10.0.3.1", "zzz", "q", "aes-gcm x25519 v", "aa0007", "gcmq"]
+    texts = {r[0]: " ".join(x for x in r[1:] if x is not None).lower() for r in made}
+    want = {(n, i) for n in needles for i, t in texts.items() if (n or "").strip().lower() in t}
+    got = fleet.SearchIndex(rows, "row_no").find(spark.createDataFrame([(n,) for n in needles], "needle string")).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
 def test_labels_and_manifest(spark, tmp_path):
     import hashlib
     import json
