@@ -79,6 +79,13 @@ add(
     lambda spark, d: O.orphan_packets(S.esp_packets(spark, d), _sa(spark, d)).select("capture_id", "frame", "peers", "ownership"),
     f"WITH {ESP}, {BASE}, {IKE}, {SA_SQL}, {OWNER_SQL} SELECT capture_id, frame, peers, ownership FROM owned WHERE owner IS NULL",
 )
+add(
+    "orphan_evidence",
+    lambda spark, d: O.orphan_evidence(O.orphan_packets(S.esp_packets(spark, d), _sa(spark, d))),
+    f"""WITH {ESP}, {BASE}, {IKE}, {SA_SQL}, {OWNER_SQL}, orph AS (SELECT * FROM owned WHERE owner IS NULL),
+ids AS (SELECT capture_id, peers, 'esp-' || lpad(lower(to_hex(arg_min(coalesce(spi, 0), frame))), 8, '0') AS session_id FROM orph GROUP BY ALL)
+SELECT capture_id, peers, session_id, frame, size FROM orph JOIN ids USING (capture_id, peers)""",
+)
 PER_OWNER = f"""
 spis AS (SELECT capture_id, owner, coalesce(spi, 0) AS spi, count(*) AS n, count(DISTINCT coalesce(seq, 0)) AS d FROM owned WHERE owner IS NOT NULL GROUP BY ALL),
 per_owner AS (SELECT capture_id, owner, sum(n)::BIGINT AS esp_packets, {REPLAY} AS anti_replay FROM spis GROUP BY ALL)"""

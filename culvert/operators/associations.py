@@ -155,17 +155,28 @@ def orphan_packets(packets: DataFrame, associations: DataFrame) -> DataFrame:
     return own_packets(packets, associations).filter(F.col("owner").isNull())
 
 
-def mid_session_records(orphans: DataFrame, compat: bool = False) -> DataFrame:
+def _orphan_id(first_spi: Column) -> Column:
+    return F.concat(F.lit("esp-"), F.lower(F.lpad(F.hex(first_spi), 8, "0")))
+
+
+def orphan_evidence(orphans: DataFrame) -> DataFrame:
+    """Every frame and size of packets without an association, beside the id of their mid-session record; long, as ``evidence_frames``."""
+    keys = ["capture_id", "peers"]
+    facts = orphans.groupBy(*keys).agg(F.min_by(F.coalesce("spi", F.lit(0)), "frame").alias("_spi"), F.count(F.lit(1)).alias("_n"))
+    return attach(orphans.select(*keys, "frame", "size"), facts, keys, "_n").select(*keys, _orphan_id(F.col("_spi")).alias("session_id"), "frame", "size")
+
+
+def mid_session_records(orphans: DataFrame, compat: bool = False, refs: int = MID_SESSION_REFS) -> DataFrame:
     """One record per unordered pair whose packets no association owns.
 
-    References are the first twenty frames: a top-k the window operator applies before the
-    shuffle. ``compat=True`` reports IPv4 always, as a record without a handshake used to.
+    A record shows its first ``refs`` frames: a top-k the window operator applies before the
+    shuffle; ``orphan_evidence`` holds all. ``compat=True`` reports IPv4 always, as a record without a handshake used to.
     """
     from pyspark.sql import Window
 
     keys = ["capture_id", "peers"]
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy("frame"))
-    first = orphans.withColumn("_rank", rank).filter(F.col("_rank") <= MID_SESSION_REFS)
+    first = orphans.withColumn("_rank", rank).filter(F.col("_rank") <= refs)
     head = first.groupBy(*keys).agg(
         F.min_by(F.struct(F.coalesce("spi", F.lit(0)).alias("spi"), "src", "dst"), "frame").alias("_first"),
         F.array_sort(F.collect_list("frame")).alias("packet_refs"),
@@ -174,7 +185,7 @@ def mid_session_records(orphans: DataFrame, compat: bool = False) -> DataFrame:
     unknown = F.lit("unknown")
     return head.join(anti_replay(orphans, keys), keys).select(
         *keys,
-        F.concat(F.lit("esp-"), F.lower(F.lpad(F.hex("_first.spi"), 8, "0"))).alias("session_id"),
+        _orphan_id(F.col("_first.spi")).alias("session_id"),
         F.col("_first.src").alias("initiator_ip"), F.col("_first.dst").alias("responder_ip"),
         version.alias("ip_version"), F.lit("IKEv2").alias("version"),
         unknown.alias("encryption"), unknown.alias("integrity"), unknown.alias("prf"), unknown.alias("dh_group"),
