@@ -8,7 +8,7 @@ from culvert.llm.bpe import encode_decode
 from culvert.llm.common import table
 from culvert.llm.kneser_ney import keep_good
 from culvert.llm.mixing import mix
-from culvert.llm.near_copies import one_of_each_similar
+from culvert.llm.simhash import one_of_each
 from culvert.llm.substrings import dedup_substrings
 from culvert.session import materialise
 
@@ -19,8 +19,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents joined by pairs that share 0.8 of their five-word shingles the one with the smallest id stays."""
-    return one_of_each_similar(docs)
+    """Of each component of documents linked by SimHash fingerprints, those of op8, the one with the smallest id stays."""
+    return one_of_each(docs)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -128,11 +128,11 @@ def first_of_each(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str)
     return keyed.join(chosen, [key, uid], "left_semi").dropDuplicates([key, uid]).select(docs.columns)
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = 2, prints: int = PRINTS) -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, prints: int = 1) -> DataFrame:
     """The documents without those linked by fingerprints: of each component the row with the smallest id stays.
 
-    Near fingerprints are no proof of similar texts, and most similar texts have distant ones: ``near_copies`` is
-    what finds near copies. A null id is the last choice; among rows that share the id a hash of the text decides,
+    Components are those of ``near_duplicates``; further prints link by any of them. Near fingerprints are no proof of similar
+    texts, and most similar texts have distant ones, which ``near_copies`` finds. A null id is the last choice; among rows that share the id a hash of the text decides,
     and exact repeats of a row leave one.
     """
     return first_of_each(docs, labelled(docs, id_col, text_col, shingle, radius, prints), id_col, text_col)

@@ -104,3 +104,16 @@ def test_edge_cases(spark):
     assert got.columns == docs.columns
     assert sorted((r["doc_id"], r["text"]) for r in got.collect()) == [(1, None), (3, "a b c d e f"), (5, "other words are here to stay")]
     assert near_copies.one_of_each_similar(docs.limit(0)).count() == 0
+
+
+def test_pipeline_stage_is_simhash(spark):
+    """The stage drops what op8's components join, and nothing else."""
+    import corpus_pipeline
+    from culvert.llm import simhash
+
+    base = " ".join(f"w{i}" for i in range(120))
+    texts = [base, base, base + " w120", " ".join(f"v{i}" for i in range(90)), base.upper(), None, "", "one two three", "one two four"]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    rows = simhash.near_duplicates(docs).collect()
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()}
+    assert kept == {r["component_id"] for r in rows} and 1 not in kept and 6 not in kept and {0, 3, 5, 7} <= kept
