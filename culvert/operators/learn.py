@@ -33,6 +33,8 @@ ABSTAIN_BELOW, MODE_MIN, PROTOCOL_MIN = 0.6, 0.7, 0.6
 VOLUME_FEATURES = ("pkt_total", "rate_pps", "flow_duration_sec")
 MODE_FEATURES = (*FEATURES, "is_ipv6", "is_aead", "block_8")
 FOLDS_AT_ONCE = 5
+#: a forest is fitted by one task for so many rows: each task sends statistics of every open node, whatever its rows
+ROWS_A_TASK = 1 << 17
 HASH_SPACE, HASH_SLICE = 1 << 30, 1 << 15
 
 
@@ -137,13 +139,19 @@ def fit(
         tree = RandomForestClassifier(labelCol="_label", featuresCol="features", weightCol="weight", seed=seed, **{**FOREST, **settings})
     elif algo == "gbt":
         base = GBTClassifier(labelCol="_label", featuresCol="features", seed=seed, **{**BOOSTED, **settings})
-        tree = OneVsRest(classifier=base, labelCol="_label", featuresCol="features")
+        tree = OneVsRest(classifier=base, labelCol="_label", featuresCol="features", parallelism=FOLDS_AT_ONCE)
     else:
         raise ValueError(f"unknown algorithm {algo}")
+    train = few_parts(train)
     table = feature_matrix(balanced_weights(train, label), features)
     return Model(Pipeline(stages=[index, tree]).fit(table), algo, f"{version}-{algo}", tuple(features), feature_means(train, features))
 
 
+def few_parts(train: DataFrame, rows: int = ROWS_A_TASK) -> DataFrame:
+    """``train``, which should be stored, in one partition for so many rows; never in more than it has."""
+    return train.coalesce(max(1, -(-train.count() // rows)))
+
+
 def feature_means(train: DataFrame, features: Sequence[str] = FEATURES) -> dict[str, float]:
     row = mean_row(train, features).first()
     return {n: row[n] for n in features if row[n] is not None}
