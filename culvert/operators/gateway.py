@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from culvert.functions.net import peer_pair
-from culvert.plans.skew import attach, one_row
+from culvert.plans.skew import attach, one_row, slice_of
 from culvert.session import materialise
 
 VALUE_FIELDS = ("mode", "pfs_status", "auth_method", "version", "anti_replay")
@@ -37,6 +37,10 @@ DETECT = {
 # in its range plus the sum over earlier ranges. What a line says is then aggregated by (file, number of the record).
 
 
+#: lines that are numbered together, and lines of a stored file: what a task sorts is bounded by them
+RUN_LINES, FILE_LINES = 1 << 15, 1 << 17
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of all files: ``path``, byte range ``part``, ``seq`` (rising within a range) and ``line``.
 
@@ -49,18 +53,19 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 def number_lines(lines: DataFrame) -> DataFrame:
     """Non-blank lines with their number ``n`` in the file and, per format, the number of heads up to and with them.
 
-    One row per byte range is summed over its file; lines are only ordered within a range.
+    One row per run of at most ``RUN_LINES`` lines of a byte range is summed over its file; lines are only ordered within a run.
     """
-    own = Window.partitionBy("path", "part").orderBy("seq")
-    shown = lines.filter(F.trim(F.translate("line", "\t", " ")) != "")
+    run = ["path", "part", "run"]
+    own = Window.partitionBy(*run).orderBy("seq")
+    shown = lines.filter(F.trim(F.translate("line", "\t", " ")) != "").withColumn("run", slice_of(F.col("seq"), RUN_LINES))
     heads = {f"h{i}": F.col("line").rlike(HEADS[f]).cast("long") for i, f in enumerate(FORMATS)}
     marked = shown.withColumns({"n": F.lit(1).cast("long"), **heads})
     counts = ["n", *heads]
-    before = Window.partitionBy("path").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = marked.groupBy("path", "part").agg(*[F.sum(c).alias(c) for c in counts])
-    earlier = totals.select("path", "part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_{c}") for c in counts])
-    running = marked.select("path", "part", "line", *[F.sum(c).over(own.rowsBetween(Window.unboundedPreceding, 0)).alias(c) for c in counts])
-    return running.join(earlier, ["path", "part"]).select("path", "line", *[(F.col(c) + F.col(f"_{c}")).alias(c) for c in counts])
+    before = Window.partitionBy("path").orderBy("part", "run").rowsBetween(Window.unboundedPreceding, -1)
+    totals = marked.groupBy(*run).agg(*[F.sum(c).alias(c) for c in counts])
+    earlier = totals.select(*run, *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_{c}") for c in counts])
+    running = marked.select(*run, "line", *[F.sum(c).over(own.rowsBetween(Window.unboundedPreceding, 0)).alias(c) for c in counts])
+    return running.join(earlier, run).select("path", "line", *[(F.col(c) + F.col(f"_{c}")).alias(c) for c in counts])
 
 
 def _braces(rows: DataFrame, word: str) -> DataFrame:
@@ -228,7 +233,7 @@ PARSERS = (parse_list_sas, parse_list_conns, parse_conf, parse_xfrm)
 
 def parse_gateway_state(lines: DataFrame) -> DataFrame:
     """Records of every format found in each file of ``read_lines``; a file may hold several formats. Numbered lines are written once."""
-    numbered = materialise(number_lines(lines), "gateway-lines")
+    numbered = materialise(number_lines(lines), "gateway-lines", FILE_LINES)
     found = formats_found(numbered)
     return reduce(lambda a, b: a.unionByName(b), [p(numbered, found) for p in PARSERS])
 
