@@ -459,3 +459,39 @@ def test_folds_are_fitted_together_and_predict_every_row(spark, monkeypatch, tmp
     assert learn.fit_folds(table.filter("fold = 0"), "label", "fold", ("x", "y")) == []
     with pytest.raises(ValueError):
         learn.out_of_fold(table, [], "fold")
+
+
+@pytest.mark.parametrize("run", [1, 7, 1 << 15])
+def test_gateway_lines_are_numbered_in_runs(spark, monkeypatch, run):
+    """Numbers and heads count through the whole file, whatever the length of a run; no window spans a byte range."""
+    monkeypatch.setattr(gateway, "RUN_LINES", run)
+    rows = [("f", part * 1000, (part << 33) + k, f"gw{part}: IKEv2, x" if k % 4 == 0 else " " if k % 4 == 1 else f"  {part} {k}") for part in range(3) for k in range(40)]
+    lines = spark.createDataFrame(rows, "path string, part long, seq long, line string")
+    out = gateway.number_lines(lines)
+    got = sorted((r["n"], r["line"], r[f"h{gateway.FORMATS.index('list-conns')}"]) for r in out.collect())
+    shown = [r[3] for r in rows if r[3].strip()]
+    assert got == [(i, line, sum(x.startswith("gw") for x in shown[:i])) for i, line in enumerate(shown, 1)]
+    assert any(x.startswith("Window") and "run" in x for x in (y.strip(" +-:*()0123456789") for y in out._jdf.queryExecution().optimizedPlan().toString().splitlines()))
+
+
+def test_forests_are_fitted_by_few_tasks(spark):
+    df = spark.range(1000).repartition(9)
+    for rows, parts in ((1000, 1), (400, 3), (10, 9)):
+        few = learn.few_parts(df, rows)
+        assert few.rdd.getNumPartitions() == parts and few.agg(F.sum("id")).first()[0] == 499500
+    assert learn.few_parts(df.limit(0)).count() == 0
+
+
+def test_search_index_numbers_its_texts(spark):
+    rows = [(i, f"S{i // 2:02d}", None if i % 3 else "10.0.0.1") for i in range(40)]
+    df = spark.createDataFrame(rows, "row_no long, session_id string, initiator_ip string").selectExpr(
+        "*", "cast(null as string) AS responder_ip", "named_struct('encryption', 'AES', 'dh_group', cast(null as string), 'vendor', 'Acme') AS ike", "named_struct('predicted_type', 'Web') AS traffic")
+    index = fleet.SearchIndex(df, "row_no")
+    assert dict(index.postings.dtypes)["text_id"] == "bigint" and index.texts.count() == index.texts.select("text_id").distinct().count()
+    asked = spark.createDataFrame([("s0",), (" ACME ",), ("s1",), ("10.0.0.1 aes",), ("",), ("nothing",), ("s19",)], "needle string")
+    got = {}
+    for r in index.find(asked).collect():
+        got.setdefault(r["needle"], []).append(r["row_no"] if "row_no" in r else r["row_id"])
+    text = {r["row_no"]: r["t"] for r in df.select("row_no", fleet.search_text().alias("t")).collect()}
+    want = {n: sorted(i for i, t in text.items() if n.strip().lower() in t) for n in ("s0", " ACME ", "s1", "10.0.0.1 aes", "", "nothing", "s19")}
+    assert {n: sorted(v) for n, v in got.items()} == {n: v for n, v in want.items() if v}
