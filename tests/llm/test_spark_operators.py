@@ -321,5 +321,11 @@ def test_matches_sql(spark, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE)))
 def test_runs_over_whole_tables(spark, name):
-    source = "pages" if name.startswith("op7") else "documents"
-    assert catalog.QUERIES[name](spark, SF).count() == spark.read.parquet(f"{SF}/{source}.parquet").count()
+    rows = catalog.QUERIES[name](spark, SF).count()
+    if name.startswith("op13"):  # phrases, not documents
+        assert rows > 0
+    elif name.startswith("op12"):  # a row for each conversation
+        assert rows == spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id").distinct().count()
+    else:
+        source = "pages" if name.startswith("op7") else "documents"
+        assert rows == spark.read.parquet(f"{SF}/{source}.parquet").count()
