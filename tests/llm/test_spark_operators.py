@@ -87,6 +87,15 @@ def test_suffix_tree_is_a_distribution_and_beats_the_base(spark):
     assert scored[0] > scored[1]
 
 
+def test_suffix_tree_names_every_word_that_its_shares_allow(spark):
+    """210,000 words found ten times each: more than any fixed alphabet holds."""
+    docs = spark.range(70_000).selectExpr("repeat(concat('x', id, ' y', id, ' z', id, ' '), 10) AS text")
+    tree = suffix_tree.grow(docs, suffix_tree.word_counts(docs), depth=1)
+    ids, _, _ = tree.sequences([b"x5 Y69999 z123 unheard"])
+    assert tree.end == 210_001 and (ids[1:4] > 0).all() and ids[4] == 0
+    assert (tree.first >= 0).sum() >= 210_000
+
+
 def test_line_rules(docs, none):
     got = line_rules.line_rules(docs).collect()
     assert len(got) == len(rows())
