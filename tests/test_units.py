@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from culvert.functions import numeric
 from culvert.functions.ids import uuid5
-from culvert.functions.net import is_public
+from culvert.functions.net import V4_PATTERN, V6_PATTERN, is_public
 from culvert.operators import associations, corpus, fleet, flows, gateway, learn, ledger, rules
 from culvert.plans import skew, standins
 from culvert.sources import store
@@ -123,6 +123,11 @@ def test_ids_and_addresses(spark):
     assert {r["a"] for r in df.collect()} == public
 
 
+def test_an_address_is_read_once_however_many_ranges_it_is_compared_with(spark):
+    plan = spark.range(1).select(F.col("id").cast("string").alias("a")).select(is_public(F.col("a")))._jdf.queryExecution().analyzed().toString()
+    assert 1 <= plan.count(V4_PATTERN) <= 3 and plan.count(V6_PATTERN) == 1
+
+
 def one_session(spark, **ike):
     base = dict(version="IKEv2", mode="tunnel", aggressive_mode=False, encryption="AES-256-GCM", integrity="implicit", dh_group="ECP256",
                 pfs_status="enabled", auth_method="RSA", ip_version="IPv4", sa_lifetime_sec=None, vendor="unknown", nat_traversal=False,
