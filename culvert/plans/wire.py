@@ -1,10 +1,14 @@
 """The stand-in tables as bytes: one projection more, so that decoders can be checked against the columns they must give back.
 
-Everything is built as hexadecimal text from a row's own columns and turned into bytes once.
+Frames are built as hexadecimal text from a row's own columns and turned into bytes once; messages, whose payloads are
+lists of lists, over whole Arrow batches.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,47 +29,128 @@ def size_of(hexed: str) -> str:
     return f"length({hexed}) div 2"
 
 
-def transform(kind: int, number: str, attributes: str = "''") -> str:
-    """A transform behind its first byte, which says whether another follows."""
-    return joined("'00'", octets(f"8 + {size_of(attributes)}", 2), octets(str(kind), 1), "'00'", octets(number, 2), attributes)
+def octet_array(values: pa.Array, size: int) -> pa.Array:
+    """Arrow: what ``octets`` gives, as bytes; of a number that is too long the first digits, as there."""
+    numbers = np.asarray(values.cast(pa.int64()).fill_null(0)).copy()
+    for at in np.flatnonzero((numbers < 0) | (numbers >= 1 << 8 * size)):
+        numbers[at] = int(f"{int(numbers[at]) & (1 << 64) - 1:X}"[: 2 * size], 16)
+    data = numbers.astype(">i8").view(np.uint8).reshape(-1, 8)[:, 8 - size :].tobytes()
+    plain = pa.Array.from_buffers(pa.binary(size), len(numbers), [None, pa.py_buffer(data)]).cast(pa.binary())
+    return pc.if_else(values.is_valid(), plain, pa.scalar(None, pa.binary()))
 
 
-def fixed(tag: int, value: str) -> str:
-    return f"coalesce({joined(octets(str(0x8000 | tag), 2), octets(value, 2))}, '')"
+def glued(*parts: pa.Array | bytes) -> pa.Array:
+    """Arrow: the parts of each row side by side; NULL if one is."""
+    return pc.binary_join_element_wise(*(pa.scalar(p, pa.binary()) if isinstance(p, bytes) else p for p in parts), pa.scalar(b"", pa.binary()), null_handling="emit_null")
 
 
-def with_messages(messages: DataFrame) -> DataFrame:
-    """Adds ``ike``: the message that a row of the message stand-in stands for."""
-    long_key = fixed(14, "key_length")
-    transforms = (
-        f"filter(concat(array({transform(1, 'encr_id', long_key)}, {transform(3, 'integ_id')}, {transform(2, 'prf_id')}, {transform(4, 'dh_id')}),"
-        f" transform(addke_ids, x -> {transform(6, 'x')})), t -> t IS NOT NULL)"
-    )
-    chained = "array_join(transform(_t, (t, i) -> concat(if(i < size(_t) - 1, '03', '00'), t)), '')"
-    columns = {"life_value": lambda tag: joined(octets(str(tag), 2), "'0004'", octets("life_value", 4))}
-    phases = [joined(*(columns.get(name, lambda tag, name=name: fixed(tag, name))(tag) for tag, name in phase.items())) for phase in (PHASE_1, PHASE_2)]
-    v1_transform = joined("'00'", octets(f"8 + {size_of('_a')}", 2), "'01'", octets("if(exchange = 32, esp_id, 1)", 1), "'0000'", "_a")
-    offer = f"if(version = 'IKEv1', array({v1_transform}), {transforms})"
-    rows = step(messages, _a=F.expr(f"if(exchange = 32, {phases[1]}, {phases[0]})"))
-    rows = step(step(rows, _t=F.expr(offer)), _c=F.expr(chained))
-    proposal = joined("'0000'", octets(f"8 + {size_of('_c')}", 2), "'01'", octets("proposal_protocol", 1), "'00'", octets("size(_t)", 1), "_c")
+def numbered(size: pa.Array, more: int, width: int) -> pa.Array:
+    return octet_array(pc.add(size, more), width)
+
+
+def unhexed(texts: pa.Array) -> pa.Array:
+    coded = texts.dictionary_encode()
+    return pa.array([bytes.fromhex(t) for t in coded.dictionary.to_pylist()], pa.binary()).take(coded.indices)
+
+
+def strung(parts: pa.Array, owner: np.ndarray, rows: int) -> pa.Array:
+    """The parts of each row in order, as one value; parts that are NULL are left out. ``owner`` is sorted."""
+    there = np.flatnonzero(parts.is_valid())
+    ends = np.concatenate(([0], np.cumsum(np.bincount(owner[there], minlength=rows)))).astype(np.int32)
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), parts.take(pa.array(there))), b"")
+
+
+MESSAGE_FIELDS = (
+    "init_spi", "resp_spi", "version", "exchange", "is_response", "message_id", "payload_types", "proposal_protocol", "encr_id", "key_length", "integ_id", "prf_id",
+    "dh_id", "addke_ids", "ke_group", "ke_len", "auth_id", "notify_types", "vid_hex", "nonce_len", "v1_encr", "v1_hash", "v1_auth", "v1_group", "life_type", "life_value",
+    "esp_id", "esp_auth", "p2_group", "encap",
+)
+
+
+def _proposals(rows: dict[str, pa.Array], v1: pa.Array, size: int) -> pa.Array:
+    """The proposal of each message: one transform in version 1, those that are there in version 2."""
+
+    def attribute(tag: int, name: str) -> pa.Array:
+        if name == "life_value":
+            return glued(tag.to_bytes(2), b"\0\4", octet_array(rows[name], 4))
+        return glued((0x8000 | tag).to_bytes(2), octet_array(rows[name], 2)).fill_null(b"")
+
+    def transform(kind: int, number: pa.Array, attributes: pa.Array) -> pa.Array:
+        return glued(b"\0", numbered(pc.binary_length(attributes), 8, 2), bytes([kind, 0]), octet_array(number, 2), attributes)
+
+    quick = pc.equal(rows["exchange"], 32).fill_null(False)
+    first, second = (glued(*(attribute(tag, name) for tag, name in phase.items())) for phase in (PHASE_1, PHASE_2))
+    phase = pc.if_else(quick, second, first)
+    number = pc.if_else(quick, rows["esp_id"].cast(pa.int64()), 1)
+    old = glued(b"\0", numbered(pc.binary_length(phase), 8, 2), b"\1", octet_array(number, 1), b"\0\0", phase)
+    none = pa.array([b""] * size, pa.binary())
+    more = pc.list_flatten(rows["addke_ids"])
+    parts = [transform(kind, rows[name], attribute(14, "key_length") if kind == 1 else none) for kind, name in ((1, "encr_id"), (3, "integ_id"), (2, "prf_id"), (4, "dh_id"))]
+    parts.append(transform(6, more, pa.array([b""] * len(more), pa.binary())))
+    owner = np.concatenate([*[np.arange(size)] * 4, np.asarray(pc.list_parent_indices(rows["addke_ids"]))])
+    order = np.argsort(owner, kind="stable")
+    parts, owner = pa.concat_arrays(parts).take(pa.array(order)), owner[order]
+    there = np.flatnonzero(parts.is_valid())
+    parts, owner = parts.take(pa.array(there)), owner[there]
+    more = pc.if_else(pa.array(np.diff(owner, append=size) != 0), pa.scalar(b"\0", pa.binary()), pa.scalar(b"\3", pa.binary()))
+    chained = strung(glued(more, parts), owner, size)
+    chained = pc.if_else(rows["addke_ids"].is_valid(), chained, pa.scalar(None, pa.binary()))
+    chained = pc.if_else(v1, glued(b"\0", old).fill_null(b""), chained)
+    count = pc.if_else(v1, 1, pa.array(np.bincount(owner, minlength=size)))
+    return glued(b"\0\0", numbered(pc.binary_length(chained), 8, 2), b"\1", octet_array(rows["proposal_protocol"], 1), b"\0", octet_array(count, 1), chained)
+
+
+def build_messages(given: pa.StructArray) -> pa.Array:
+    """The bytes of each message, all rows of a batch side by side."""
+    rows, size = {name: pc.struct_field(given, name) for name in MESSAGE_FIELDS}, len(given)
+    v1 = pc.equal(rows["version"], "IKEv1").fill_null(False)
+    proposal = _proposals(rows, v1, size)
+
+    def filled(letter: bytes, times: pa.Array) -> pa.Array:
+        return pc.binary_repeat(pa.scalar(letter, pa.binary()), pc.max_element_wise(times.cast(pa.int64()), 0, skip_nulls=False))
+
+    notes = rows["notify_types"]
+    held = np.asarray(pc.list_value_length(notes).fill_null(0))
+    starts = pa.array(np.cumsum(held) - held, mask=held == 0)
+    note = pc.list_flatten(notes).take(starts).fill_null(16384)
     bodies = {
         33: proposal,
-        1: joined("'0000000100000001'", proposal),
-        34: joined(octets("coalesce(ke_group, 0)", 2), "'0000'", "repeat('6b', cast(ke_len as int))"),
-        39: joined(octets("auth_id", 1), "'0000007369'"),
-        41: joined("'0000'", octets("coalesce(get(notify_types, 0), 16384)", 2)),
-        43: "vid_hex",
-        13: "vid_hex",
-        40: "repeat('6e', cast(nonce_len as int))",
+        1: glued(bytes.fromhex("0000000100000001"), proposal),
+        34: glued(octet_array(rows["ke_group"].fill_null(0), 2), b"\0\0", filled(b"k", rows["ke_len"])),
+        39: glued(octet_array(rows["auth_id"], 1), bytes.fromhex("0000007369")),
+        41: glued(b"\0\0", octet_array(note, 2)),
+        43: unhexed(rows["vid_hex"]),
+        40: filled(b"n", rows["nonce_len"]),
+        None: pa.array([bytes.fromhex("aabbcc")] * size, pa.binary()),
     }
-    body = "CASE p " + " ".join(f"WHEN {kind} THEN {value}" for kind, value in bodies.items()) + " ELSE 'aabbcc' END"
-    rows = step(rows, _b=F.expr(f"transform(payload_types, p -> {body})"))
-    framed = f"array_join(transform(_b, (b, i) -> {joined(octets('coalesce(get(payload_types, i + 1), 0)', 1), chr(39) + '00' + chr(39), octets(f'4 + {size_of(chr(98))}', 2), 'b')}), '')"
-    rows = step(rows, _p=F.expr(framed))
-    flags = "if(version = 'IKEv1', 0, if(is_response, 32, 8))"
-    header = joined("init_spi", "resp_spi", octets("coalesce(get(payload_types, 0), 0)", 1), "if(version = 'IKEv1', '10', '20')", octets("exchange", 1), octets(flags, 1), octets("message_id", 4), octets(f"28 + {size_of('_p')}", 4), "_p")
-    return step(rows, ike=F.expr(f"unhex({header})")).drop("_a", "_t", "_c", "_b", "_p")
+    bodies[13] = bodies[43]
+    kinds = np.asarray(pc.list_flatten(rows["payload_types"]).cast(pa.int64()).fill_null(0))
+    owner = np.asarray(pc.list_parent_indices(rows["payload_types"])).astype(np.int64)
+    slot = np.full(len(kinds), list(bodies).index(None))
+    for k, kind in enumerate(bodies):
+        slot[kinds == kind] = k
+    body = pa.concat_arrays(list(bodies.values())).take(pa.array(slot * size + owner))
+    following = np.where(np.diff(owner, append=-1) == 0, np.append(kinds[1:], 0), 0)
+    framed = glued(octet_array(pa.array(following), 1), b"\0", numbered(pc.binary_length(body), 4, 2), body)
+    inside = pc.if_else(rows["payload_types"].is_valid(), strung(framed, owner, size), pa.scalar(None, pa.binary()))
+    first = np.zeros(size, np.int64)
+    heads = np.flatnonzero(np.diff(owner, prepend=-1))
+    first[owner[heads]] = kinds[heads]
+    flags = pc.if_else(v1, 0, pc.if_else(rows["is_response"].fill_null(False), 32, 8))
+    return glued(
+        unhexed(rows["init_spi"]), unhexed(rows["resp_spi"]), octet_array(pa.array(first), 1), pc.if_else(v1, pa.scalar(b"\x10", pa.binary()), pa.scalar(b"\x20", pa.binary())),
+        octet_array(rows["exchange"], 1), octet_array(flags, 1), octet_array(rows["message_id"], 4), numbered(pc.binary_length(inside), 28, 4), inside,
+    )
+
+
+def with_messages(messages: DataFrame) -> DataFrame:
+    """Adds ``ike``: the message that a row of the message stand-in stands for."""
+
+    @F.arrow_udf("binary")
+    def built(rows: pa.Array) -> pa.Array:
+        return build_messages(rows)
+
+    return step(messages, ike=built(F.struct(*MESSAGE_FIELDS)))
 
 
 def address(column: str) -> str:
