@@ -96,6 +96,21 @@ def test_suffix_tree_names_every_word_that_its_shares_allow(spark):
     assert (tree.first >= 0).sum() >= 210_000
 
 
+def test_suffix_tree_reads_the_texts_of_its_levels_once(spark, monkeypatch):
+    """The levels count stored ids; a text is split into words once for all of them."""
+    docs = spark.range(50).selectExpr("repeat(concat('x y z ', id % 5, ' '), 20) AS text")
+    stored, plain = {}, suffix_tree.materialise
+
+    def materialise(df, purpose):
+        stored[purpose] = plain(df, purpose)
+        return stored[purpose]
+
+    monkeypatch.setattr(suffix_tree, "materialise", materialise)
+    tree = suffix_tree.grow(docs, suffix_tree.word_counts(docs))
+    ids = [suffix_tree.unplanes(r["ids"], "uint32") for r in stored["ids"].collect()]
+    assert sum(map(len, ids)) == 50 * 82 and len(tree.next) == 2 and sum((x == tree.begin).sum() for x in ids) == 50
+
+
 def test_line_rules(docs, none):
     got = line_rules.line_rules(docs).collect()
     assert len(got) == len(rows())
