@@ -15,6 +15,8 @@ from culvert.session import materialise
 
 PREDS = S.duck_cte("preds")
 KEYS = ["capture_id", "peers", "flow_class"]
+#: rows of a stored table's file, so that scoring spreads over tasks
+FILE_ROWS = 1 << 13
 BOOST = {"maxIter": 5, "maxDepth": 3}  # one-versus-rest boosting is a sequence of jobs per round and class
 CLASSES = ["click", "error", "purchase", "signup", "view"]
 
@@ -25,7 +27,7 @@ def flows(s, d):
 
 
 def stored_flows(s, d):
-    return materialise(flows(s, d), "flows")
+    return materialise(flows(s, d), "flows", FILE_ROWS)
 
 
 FEAT = f"{ESP}, {BASE}, {flow_cte(KEYS, KEYS[:2])}"
@@ -119,7 +121,7 @@ SELECT label, CASE WHEN x < 0.70 THEN 'train' WHEN x < 0.85 THEN 'val' ELSE 'tes
 
 def _fitted(s, d):
     """Stored flows dealt into folds, and the model of each fold."""
-    table = materialise(O.stratified_folds(stored_flows(s, d), "label", KEYS), "folds")
+    table = materialise(O.stratified_folds(stored_flows(s, d), "label", KEYS), "folds", FILE_ROWS)
     return table, O.fit_folds(table, "label", "fold")
 
 
@@ -134,14 +136,14 @@ def _explanations(s, d):
 
 
 def _selection(s, d):
-    parts = materialise(O.stratified_split(stored_flows(s, d), "label", KEYS), "parts")
+    parts = materialise(O.stratified_split(stored_flows(s, d), "label", KEYS), "parts", FILE_ROWS)
     model, f1 = O.select_model(parts.filter("part = 'train'"), parts.filter("part = 'val'"), "label", gbt=BOOST)
     rows = [(model.algo, model.version, float(f1), n, w) for n, w in (model.importances or {"none": 0.0}).items()]
     return s.createDataFrame(rows, "algo string, model_version string, selection_macro_f1 double, feature string, importance double")
 
 
 def _folds(s, d, features=FL.FEATURES):
-    table = materialise(O.stratified_folds(stored_flows(s, d), "label", KEYS), "folds")
+    table = materialise(O.stratified_folds(stored_flows(s, d), "label", KEYS), "folds", FILE_ROWS)
     pred = O.cross_validate(table, "label", "fold", features)
     return O.overall_metrics(pred)
 
@@ -153,7 +155,7 @@ def _held_out(s, d):
 
 def _group_folds(s, d):
     cfg = F.concat_ws("_", (F.hash("peers") % 12).cast("string"), F.col("capture_id").cast("string"))
-    table = materialise(O.group_folds(stored_flows(s, d).withColumn("cfg", cfg), "cfg"), "folds")
+    table = materialise(O.group_folds(stored_flows(s, d).withColumn("cfg", cfg), "cfg"), "folds", FILE_ROWS)
     return O.overall_metrics(O.cross_validate(table, "label", "fold"))
 
 

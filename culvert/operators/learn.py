@@ -1,6 +1,7 @@
-"""Traffic-type, mode and protocol models with MLlib, and their evaluation.
+"""Traffic-type, mode and protocol models, and their evaluation.
 
-Model fits are MLlib's own distributed jobs. Splits and folds are ranks of a seeded hash within a
+Up to ``LOCAL_ROWS`` rows, each tree or boosted class is grown by one task (``operators/trees.py``); beyond that, model fits are
+MLlib's own distributed jobs. Splits and folds are ranks of a seeded hash within a
 class, so they are the same on every cluster; ranks go through slices, so a class with most of the
 rows is not sorted by one task.
 """
@@ -23,11 +24,13 @@ from pyspark.sql import functions as F
 from culvert.functions.numeric import half_even, ratio
 from culvert.operators.flows import FEATURES
 from culvert.operators.parameters import STRUCTURAL
+from culvert.operators.trees import Trees, grow, numbers
 from culvert.plans.skew import one_row, sliced_rank
 
 # Model settings and confidence thresholds.
 FOREST = {"numTrees": 150, "maxDepth": 16}
 BOOSTED = {"maxIter": 300, "maxDepth": 6, "stepSize": 0.1, "subsamplingRate": 0.9}
+SETTINGS = {"rf": FOREST, "gbt": BOOSTED}
 PROTOCOL_FOREST = {"numTrees": 50, "maxDepth": 9}
 ABSTAIN_BELOW, MODE_MIN, PROTOCOL_MIN = 0.6, 0.7, 0.6
 VOLUME_FEATURES = ("pkt_total", "rate_pps", "flow_duration_sec")
@@ -35,6 +38,8 @@ MODE_FEATURES = (*FEATURES, "is_ipv6", "is_aead", "block_8")
 FOLDS_AT_ONCE = 5
 #: a forest is fitted by one task for so many rows: each task sends statistics of every open node, whatever its rows
 ROWS_A_TASK = 1 << 17
+#: a task that grows trees holds so many rows at most, of a byte for each feature and 8 for places
+LOCAL_ROWS = 1 << 21
 HASH_SPACE, HASH_SLICE = 1 << 30, 1 << 15
 
 
@@ -92,39 +97,51 @@ def balanced_weights(train: DataFrame, label: str) -> DataFrame:
     return train.join(F.broadcast(weights), label)  # one row per class
 
 
+INFO = "algo string, version string, features array<string>, means map<string,double>"
+
+
 @dataclass
 class Model:
-    """A fitted pipeline (label index, forest or boosted trees) with what inference needs."""
+    """Trees, or a fitted pipeline (label index, forest or boosted trees), with what inference needs."""
 
-    pipeline: PipelineModel
+    pipeline: PipelineModel | None
     algo: str
     version: str
     features: tuple[str, ...]
     means: dict[str, float] = field(default_factory=dict)
+    trees: Trees | None = None
 
     @property
     def classes(self) -> list[str]:
+        if self.trees is not None:
+            return self.trees.classes
         return next(s for s in self.pipeline.stages if isinstance(s, StringIndexerModel)).labels
 
     @property
     def importances(self) -> dict[str, float]:
         """Global importance per feature; empty for one-versus-rest boosting."""
+        if self.trees is not None:
+            return {} if self.trees.boosted else {n: round(float(v), 5) for n, v in zip(self.features, self.trees.importances())}
         tree = self.pipeline.stages[-1]
         if not hasattr(tree, "featureImportances"):
             return {}
         return {n: round(float(v), 5) for n, v in zip(self.features, tree.featureImportances)}
 
     def save(self, path: str) -> None:
-        self.pipeline.write().overwrite().save(f"{path}/pipeline")
         spark = SparkSession.getActiveSession()
-        row = [(self.algo, self.version, list(self.features), self.means)]
-        spark.createDataFrame(row, "algo string, version string, features array<string>, means map<string,double>").write.mode("overwrite").json(f"{path}/info")
+        if self.trees is not None:
+            spark.createDataFrame(self.trees.table()).write.mode("overwrite").parquet(f"{path}/trees")
+        else:
+            self.pipeline.write().overwrite().save(f"{path}/pipeline")
+        row = [(self.algo, self.version, list(self.features), self.means, self.trees is not None)]
+        spark.createDataFrame(row, f"{INFO}, own boolean").write.mode("overwrite").json(f"{path}/info")
 
     @classmethod
     def load(cls, path: str) -> Model:
         spark = SparkSession.getActiveSession()
-        info = spark.read.schema("algo string, version string, features array<string>, means map<string,double>").json(f"{path}/info").first()
-        return cls(PipelineModel.load(f"{path}/pipeline"), info["algo"], info["version"], tuple(info["features"]), dict(info["means"] or {}))
+        info = spark.read.schema(f"{INFO}, own boolean").json(f"{path}/info").first()
+        trees = Trees.of(spark.read.parquet(f"{path}/trees").collect()) if info["own"] else None
+        return cls(None if info["own"] else PipelineModel.load(f"{path}/pipeline"), info["algo"], info["version"], tuple(info["features"]), dict(info["means"] or {}), trees)
 
     def info(self) -> dict:
         return {"trained": True, "algo": self.algo, "model_version": self.version, "classes": self.classes, "feature_importance": self.importances}
@@ -134,14 +151,19 @@ def fit(
     train: DataFrame, label: str, algo: str = "rf", features: Sequence[str] = FEATURES, version: str = "dev", seed: int = 0, **settings
 ) -> Model:
     """Fit a class-weighted forest (``rf``) or one-versus-rest boosted trees (``gbt``)."""
+    if algo not in SETTINGS:
+        raise ValueError(f"unknown algorithm {algo}")
+    chosen = {**SETTINGS[algo], **settings}
+    if set(chosen) == set(SETTINGS[algo]) and train.count() <= LOCAL_ROWS:
+        own = {"trees": chosen["numTrees"]} if algo == "rf" else {"trees": chosen["maxIter"], "step": chosen["stepSize"], "share": chosen["subsamplingRate"]}
+        trees = grow(train, label, features, algo == "gbt", seed, depth=chosen["maxDepth"], **own)
+        return Model(None, algo, f"{version}-{algo}", tuple(features), feature_means(train, features), trees)
     index = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc")
     if algo == "rf":
-        tree = RandomForestClassifier(labelCol="_label", featuresCol="features", weightCol="weight", seed=seed, **{**FOREST, **settings})
-    elif algo == "gbt":
-        base = GBTClassifier(labelCol="_label", featuresCol="features", seed=seed, **{**BOOSTED, **settings})
-        tree = OneVsRest(classifier=base, labelCol="_label", featuresCol="features", parallelism=FOLDS_AT_ONCE)
+        tree = RandomForestClassifier(labelCol="_label", featuresCol="features", weightCol="weight", seed=seed, **chosen)
     else:
-        raise ValueError(f"unknown algorithm {algo}")
+        base = GBTClassifier(labelCol="_label", featuresCol="features", seed=seed, **chosen)
+        tree = OneVsRest(classifier=base, labelCol="_label", featuresCol="features", parallelism=FOLDS_AT_ONCE)
     train = few_parts(train)
     table = feature_matrix(balanced_weights(train, label), features)
     return Model(Pipeline(stages=[index, tree]).fit(table), algo, f"{version}-{algo}", tuple(features), feature_means(train, features))
@@ -164,31 +186,35 @@ def mean_row(train: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
     return train.agg(*[half_even(t / n / 10000.0, 6).alias(name) for t, name in zip(whole, features)])
 
 
-def _scores(scored: DataFrame, model: Model) -> Column:
-    """Probabilities; boosted one-versus-rest has raw margins only, so they pass through softmax."""
-    if model.algo == "rf":
-        return vector_to_array("probability")
-    raw = vector_to_array("rawPrediction")
-    powers = F.transform(raw, lambda x: F.exp(x - F.array_max(raw)))
-    total = F.aggregate(powers, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(powers, lambda x: x / total)
+def predict_array(df: DataFrame, model: Model) -> DataFrame:
+    """Add ``_p``, the probabilities; boosted one-versus-rest has raw margins only, so they pass through softmax."""
+    if model.trees is not None:
+        scored = df.withColumn("_raw", model.trees.scorer(df.sparkSession)(F.struct(*numbers(model.features))))
+        raw = F.col("_raw")
+    else:
+        scored = model.pipeline.stages[-1].transform(feature_matrix(df, model.features))
+        raw = vector_to_array("probability" if model.algo == "rf" else "rawPrediction")
+    if model.algo != "rf":
+        powers = F.transform(raw, lambda x: F.exp(x - F.array_max(raw)))
+        total = F.aggregate(powers, F.lit(0.0), lambda a, x: a + x)
+        raw = F.transform(powers, lambda x: x / total)
+    out = scored.withColumn("_p", raw)
+    return out.drop(*[c for c in ("features", "rawPrediction", "probability", "prediction", "_raw") if c in out.columns and c not in df.columns])
 
 
 def predict(df: DataFrame, model: Model, seen: Column | None = None) -> DataFrame:
     """Add the ``traffic`` struct: class, rounded confidence, abstain flag, model version."""
-    scored = model.pipeline.stages[-1].transform(feature_matrix(df, model.features))
+    scored = predict_array(df, model)
     p = F.col("_p")
     names = F.array(*[F.lit(c) for c in model.classes])
     best = F.array_max(p)
     label = F.element_at(names, F.array_position(p, best).cast("int"))
-    scored = scored.withColumn("_p", _scores(scored, model))
     confidence = half_even(best, 4)
     guess = F.struct(label.alias("predicted_type"), confidence.alias("confidence"), (confidence < ABSTAIN_BELOW).alias("abstained"), F.lit(model.version).alias("model_version"))
     if seen is not None:
         nothing = F.struct(F.lit("Other").alias("predicted_type"), F.lit(0.0).alias("confidence"), F.lit(False).alias("abstained"), F.lit("no-esp-observed").alias("model_version"))
         guess = F.when(seen, guess).otherwise(nothing)
-    drop = [c for c in ("features", "rawPrediction", "probability", "prediction", "_p") if c in scored.columns]
-    return scored.withColumn("traffic", guess).drop(*drop)
+    return scored.withColumn("traffic", guess).drop("_p")
 
 
 def classifier(model: Model):
@@ -247,12 +273,6 @@ def explain(df: DataFrame, model: Model, key: Sequence[str], top: int = 3) -> Da
     )
 
 
-def predict_array(df: DataFrame, model: Model) -> DataFrame:
-    scored = model.pipeline.stages[-1].transform(feature_matrix(df, model.features))
-    out = scored.withColumn("_p", _scores(scored, model))
-    return out.drop(*[c for c in ("features", "rawPrediction", "probability", "prediction") if c in out.columns])
-
-
 # --- metrics --------------------------------------------------------------------------------------
 
 
