@@ -1,4 +1,4 @@
-"""Model and metric queries. Forests have their default sizes; ``model_selection`` alone boosts fewer rounds (``BOOST``)."""
+"""Model and metric queries. All models have their default sizes."""
 
 from __future__ import annotations
 
@@ -17,7 +17,6 @@ PREDS = S.duck_cte("preds")
 KEYS = ["capture_id", "peers", "flow_class"]
 #: rows of a stored table's file, so that scoring spreads over tasks
 FILE_ROWS = 1 << 13
-BOOST = {"maxIter": 5, "maxDepth": 3}  # one-versus-rest boosting is a sequence of jobs per round and class
 CLASSES = ["click", "error", "purchase", "signup", "view"]
 
 
@@ -137,7 +136,7 @@ def _explanations(s, d):
 
 def _selection(s, d):
     parts = materialise(O.stratified_split(stored_flows(s, d), "label", KEYS), "parts", FILE_ROWS)
-    model, f1 = O.select_model(parts.filter("part = 'train'"), parts.filter("part = 'val'"), "label", gbt=BOOST)
+    model, f1 = O.select_model(parts.filter("part = 'train'"), parts.filter("part = 'val'"), "label")
     rows = [(model.algo, model.version, float(f1), n, w) for n, w in (model.importances or {"none": 0.0}).items()]
     return s.createDataFrame(rows, "algo string, model_version string, selection_macro_f1 double, feature string, importance double")
 
