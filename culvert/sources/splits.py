@@ -32,6 +32,8 @@ INTERFACE, SIMPLE, ENHANCED = 1, 3, 6
 RECORD_DDL = "capture_id string, frame bigint, t_us bigint, link int, data binary"
 #: bytes of a window, and of what it sees of the next one: a whole record with its header
 WINDOW, BEYOND = 4 << 20, MOST + 1024
+#: stored windows of a file: Parquet's writer and reader hold a hundred rows and more of a file at a time, whatever their size
+WINDOWS_A_FILE = 4
 NONE = -1
 
 
@@ -167,6 +169,8 @@ def _assemble(window: int, beyond: int) -> Callable[[pa.Table], pa.Table]:
 
 def windows(spark: SparkSession, path: str, window: int, beyond: int) -> DataFrame:
     """path, window (its number), size (of the file), data: the bytes of all files below ``path``, stored."""
+    # a batch of windows is cut by its bytes; by its rows it would hold thousands of them
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(WINDOW))
     lines = spark.read.option("lineSep", "\n").text(path)
     lines = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("block"), F.concat(F.col("value").cast("binary"), F.unhex(F.lit("0A"))).alias("piece"))
     before = W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
@@ -205,7 +209,7 @@ def windows(spark: SparkSession, path: str, window: int, beyond: int) -> DataFra
     end = F.least(F.col("offset") + F.length("piece"), F.col("window") * window + window + beyond)
     dealt = dealt.select("path", "size", "window", begin.alias("offset"), F.substr("piece", (begin - F.col("offset") + 1).cast("int"), (end - begin).cast("int")).alias("piece")).filter(F.length("piece") > 0)
     whole = dealt.groupBy("path", "window").applyInArrow(_assemble(window, beyond), "path string, window long, size long, data binary")
-    return materialise(whole.filter(F.col("window") * window < F.col("size")), "capture-windows")
+    return materialise(whole.filter(F.col("window") * window < F.col("size")), "capture-windows", WINDOWS_A_FILE)
 
 
 EVENT = pa.list_(pa.struct([("at", pa.int64()), ("order", pa.string()), ("link", pa.int64()), ("ticks", pa.int64())]))
@@ -278,7 +282,7 @@ def read_captures(spark: SparkSession, path: str, cap: int | None = None, window
     heads = held.filter("window = 0").select("path", F.substring("data", 1, FILE_HEADER).alias("head"))
     magic = F.lower(F.hex(F.substring("head", 1, 4)))
     heads = heads.filter(magic.isin(*MAGICS) & ((magic == NG_MAGIC) | (F.length("head") == FILE_HEADER)))
-    held = held.join(heads, "path")
+    held = held.join(F.broadcast(heads), "path")  # one row of a file; all windows of a file would meet in one task
 
     def scan(rows: DataFrame, told: bool) -> DataFrame:
         return materialise(rows.mapInArrow(lambda batches: _scanned(batches, window, told), SCANNED), "capture-scan")
